@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -184,7 +185,7 @@ def matches(docs: DataFrame, bench: DataFrame, min_words: int = MIN_WORDS) -> Da
 
 
 def _slice_matches(docs: DataFrame, test: TestSet, min_words: int) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(test)
+    shared = docs.sparkSession.sparkContext.broadcast(SimpleNamespace(**vars(test)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "item_id", "doc_word", "item_word", "n_words"]
