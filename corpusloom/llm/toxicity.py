@@ -16,7 +16,6 @@ is one table of 32^4 weights; scoring is exact, in numpy on Arrow buffers, and k
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 from itertools import combinations
@@ -36,7 +35,7 @@ LONG, PIECE = 16, 12
 A = 32
 SIZE = A**ORDER
 #: Documents for training, half of them toxic; the bound of the labelled sample.
-MAX_TRAIN = 3000
+MAX_TRAIN = 2000
 LANDMARKS = (64, 64)
 
 
@@ -214,20 +213,17 @@ class Model:
         self.weight, self.threshold, self.name = weight, threshold, name
 
 
-WORDS = re.compile(r"\S+")
-
-
-def _train_units(text: str) -> list[list[bytes]]:
-    """Words (bytes) by stretch, as split_units has them."""
+def _train_units(text: str, vocab: dict[bytes, int]) -> list[np.ndarray]:
+    """Numbers of the distinct words of each stretch, as split_units has them; new words are numbered."""
     raw = np.frombuffer(text.lower().encode(), np.uint8)
     b2, s, e, stretch, doc = split_units(np.array([0, len(raw)]), raw)
     buf = b2.tobytes()
-    out: dict[int, list[bytes]] = {}
-    for a, z, k in zip(s, e, stretch, strict=True):
-        out.setdefault(int(k), []).append(buf[a:z])
+    out: dict[int, set[int]] = {}
+    for a, z, k in zip(s.tolist(), e.tolist(), stretch.tolist(), strict=True):
+        out.setdefault(k, set()).add(vocab.setdefault(buf[a:z], len(vocab)))
     for i, x in spelled(b2, s, e, doc):
-        out[int(stretch[i])].append(x)
-    return [sorted(set(x)) for x in out.values()]
+        out[int(stretch[i])].add(vocab.setdefault(x, len(vocab)))
+    return [np.array(sorted(x), np.int32) for x in out.values()]
 
 
 def _features(word: bytes, code: np.ndarray) -> dict[int, float]:
@@ -256,7 +252,7 @@ def _landmarks(marks: list[bytes], code: np.ndarray) -> tuple[np.ndarray, np.nda
 
 def _kernels(words: list[bytes], phi: np.ndarray, where: np.ndarray, code: np.ndarray) -> np.ndarray:
     """Kernel values of words (rows) with landmarks."""
-    known = np.zeros((len(words), len(phi)))
+    known, by_gram = np.zeros((len(words), len(phi)), np.float32), np.ascontiguousarray(phi.T, np.float32)
     pieces: dict[int, list[tuple[int, np.ndarray]]] = {}
     for i, w in enumerate(words):
         c = code[np.frombuffer(w, np.uint8)]
@@ -264,71 +260,81 @@ def _kernels(words: list[bytes], phi: np.ndarray, where: np.ndarray, code: np.nd
             if len(p) >= ORDER:
                 pieces.setdefault(len(p), []).append((i, p))
     for n, group in pieces.items():
-        step = max(1, 400_000 // len(_grams(n)[0]))
+        step = max(1, 60_000 // len(_grams(n)[0]))
         for k in range(0, len(group), step):
             t, lam = gram_codes(np.stack([p for _, p in group[k : k + step]]))
             r, g = np.nonzero(where[t] >= 0)
             if len(r):
-                v = phi.T[where[t[r, g]]] * (lam[g] / _norms(t, lam)[r])[:, None]
+                v = by_gram[where[t[r, g]]] * (lam[g] / _norms(t, lam)[r]).astype(np.float32)[:, None]
                 heads = np.concatenate([[0], np.flatnonzero(np.diff(r)) + 1])
                 np.add.at(known, np.array([i for i, _ in group[k : k + step]])[r[heads]], np.add.reduceat(v, heads, axis=0))
     return known
 
 
-def svm(x: np.ndarray, y: np.ndarray, c: float = 10.0, rounds: int = 12) -> tuple[np.ndarray, float]:
-    """Linear SVM with squared hinge loss by Newton steps; classes weigh the same."""
-    z = np.hstack([x, np.ones((len(x), 1))])
-    weight = np.where(y > 0, c / max(1, (y > 0).sum()), c / max(1, (y <= 0).sum())) * 100
-    w, ridge = np.zeros(z.shape[1]), np.eye(z.shape[1])
+def svm(pos: np.ndarray, neg: np.ndarray, c: float = 1000.0, rounds: int = 12) -> tuple[np.ndarray, float]:
+    """Linear SVM with squared hinge loss by Newton steps; both classes weigh the same."""
+    m = pos.shape[1] + 1
+    w, ridge = np.zeros(m), np.eye(m)
     ridge[-1, -1] = 1e-3
     for _ in range(rounds):
-        on = y * (z @ w) < 1
-        zw = z[on] * weight[on][:, None]
-        w = np.linalg.solve(ridge + zw.T @ z[on], zw.T @ y[on])
+        left, right = ridge.copy(), np.zeros(m)
+        for x, y in ((pos, 1.0), (neg, -1.0)):
+            for k in range(0, len(x), 16384):
+                z = np.hstack([x[k : k + 16384], np.ones((len(x[k : k + 16384]), 1))]).astype(np.float64)
+                z = z[y * (z @ w) < 1]
+                left += z.T @ z * (c / len(x))
+                right += z.sum(0) * (y * c / len(x))
+        w = np.linalg.solve(left, right)
     return w[:-1], float(w[-1])
 
 
 def train(toxic: list[str], clean: list[str], seed: int = 7) -> Model:
     """A model from texts of toxic and clean documents. Without a text in either list nothing is toxic."""
     _, code = process_cache("toxicity").setdefault("tables", _tables())
-    pos, neg = [_train_units(t) for t in toxic], [_train_units(t) for t in clean]
-    dp, dn = (Counter(w for d in x for w in {w for s in d for w in s if ORDER <= len(w) <= LONG}) for x in (pos, neg))
-    if not dp or not dn:
-        return Model(np.zeros(SIZE), 1.0, f"none-{seed}")
+    vocab: dict[bytes, int] = {}
+    pos, neg = [_train_units(t, vocab) for t in toxic], [_train_units(t, vocab) for t in clean]
+    words = list(vocab)
+    fits = np.array([ORDER <= len(w) <= LONG for w in words], bool)
+    dp, dn = (np.bincount(np.concatenate([np.zeros(0, np.int64), *(np.unique(np.concatenate(d)) for d in x if d)]), minlength=len(words)) * fits for x in (pos, neg))
+    none = Model(np.zeros(SIZE), 1.0, f"none-{seed}")
+    if not dp.any() or not dn.any():
+        return none
     n1, n0 = len(pos), len(neg)
-    bar = np.log((len(dp) + len(dn)) / 0.01)  # a log-likelihood ratio that no word of this vocabulary reaches by chance
-
-    def evidence(k: int, j: int) -> float:
-        return k * np.log(k / ((k + j) * n1 / (n1 + n0))) + (j * np.log(j / ((k + j) * n0 / (n1 + n0))) if j else 0.0)
-
-    z = {w: evidence(k, dn[w]) for w, k in dp.items() if k / n1 > 9 * dn[w] / n0}
-    z = {w: x for w, x in z.items() if x > bar}
-    if not z:
-        return Model(np.zeros(SIZE), 1.0, f"none-{seed}")
-    marks = sorted(z, key=lambda w: (-z[w], w))[: LANDMARKS[0]]
-    good = set(marks)
+    bar = np.log(((dp > 0).sum() + (dn > 0).sum()) / 0.01)  # a log-likelihood ratio that no word of this vocabulary reaches by chance
+    with np.errstate(divide="ignore", invalid="ignore"):
+        evidence = np.nan_to_num(dp * np.log(dp / ((dp + dn) * n1 / (n1 + n0)))) + np.nan_to_num(dn * np.log(dn / ((dp + dn) * n0 / (n1 + n0))))
+    telling = np.flatnonzero((dp / n1 > 9 * dn / n0) & (evidence > bar))
+    if not len(telling):
+        return none
+    marks = sorted(telling.tolist(), key=lambda i: (-evidence[i], words[i]))[: LANDMARKS[0]]
     # of the clean words those most like a toxic landmark are the other landmarks
-    plain = [w for w, k in sorted(dn.items(), key=lambda x: (-x[1], x[0])) if k >= 3 and w not in z][:20_000]
-    like = _kernels(plain, *_landmarks(marks, code), code).max(1, initial=0.0)
-    marks += [plain[i] for i in sorted(range(len(plain)), key=lambda i: (-like[i], plain[i]))[: LANDMARKS[1]]]
-    phi, where = _landmarks(marks, code)
-    val, vec = np.linalg.eigh(phi @ phi.T + 1e-6 * np.eye(len(marks)))
+    other = np.setdiff1d(np.flatnonzero(dn >= 3), telling).tolist()
+    plain = sorted(other, key=lambda i: (-dn[i], words[i]))[:20_000]
+    like = _kernels([words[i] for i in plain], *_landmarks([words[i] for i in marks], code), code).max(1, initial=0.0)
+    chosen = marks + [plain[k] for k in sorted(range(len(plain)), key=lambda k: (-like[k], words[plain[k]]))[: LANDMARKS[1]]]
+    phi, where = _landmarks([words[i] for i in chosen], code)
+    val, vec = np.linalg.eigh(phi @ phi.T + 1e-6 * np.eye(len(chosen)))
     white = vec @ np.diag(1 / np.sqrt(np.maximum(val, 1e-3))) @ vec.T
-    words = sorted({w for x in (pos, neg) for d in x for s in d for w in s})
-    index = {w: i for i, w in enumerate(words)}
     known = _kernels(words, phi, where, code)
 
-    def rows(docs: list[list[list[bytes]]]) -> tuple[np.ndarray, np.ndarray]:
-        flat = [(i, known[[index[w] for w in s]].sum(0)) for i, d in enumerate(docs) for s in d]
-        return np.array([v for _, v in flat]).reshape(-1, len(marks)) @ white, np.array([i for i, _ in flat], np.int64)
+    def rows(docs: list[list[np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        flat = [(i, s) for i, d in enumerate(docs) for s in d]
+        out = np.empty((len(flat), len(chosen)), np.float32)
+        for k in range(0, len(flat), 4096):
+            part = [s for _, s in flat[k : k + 4096]]
+            heads = np.concatenate([[0], np.cumsum([len(s) for s in part])[:-1]])
+            out[k : k + len(part)] = np.add.reduceat(known[np.concatenate(part)], heads, axis=0) @ white
+        return out, np.array([i for i, _ in flat], np.int64)
 
     (xp, ip), (xn, _) = rows(pos), rows(neg)
-    guess = np.array([sum(z[w] for w in s if w in good) for d in pos for s in d])
+    weighty = np.zeros(len(words))
+    weighty[marks] = evidence[marks]
+    guess = np.array([weighty[s].sum() for d in pos for s in d])
     told = np.isin(ip, ip[guess > 0])  # toxic documents without any landmark are taken for label noise
     xp, guess, named = xp[told], guess[told], guess[told] > 0
     for _ in range(3):
         bad = named | (guess > 0)
-        w, bias = svm(np.vstack([xp[bad], xn]), np.concatenate([np.ones(bad.sum()), -np.ones(len(xn))]))
+        w, bias = svm(xp[bad], xn)
         guess = xp @ w + bias
     # between nearly all clean stretches (a few labels are wrong) and the weaker toxic ones
     high, low = float(np.quantile(xn @ w, 0.9999)), float(np.quantile(xp[named] @ w, 0.05))
