@@ -10,6 +10,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusloom.functions.text import col, exact_match, last_answer, sub_match
 
@@ -83,7 +84,7 @@ def arithmetic(text: str | None) -> float | None:
         return None
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def evaluate(s: pd.Series) -> pd.Series:
     return s.map(arithmetic)
 
@@ -144,7 +145,7 @@ def latex_equal(a: str | None, b: str | None) -> bool:
     return a is b if a is None or b is None else latex_form(a) == latex_form(b)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def latex_reward(text: pd.Series, truth: pd.Series) -> pd.Series:
     """1 if the last boxed answer equals the truth, else 0."""
     return pd.Series([1.0 if (x := boxed(t)) is not None and latex_equal(x, g) else 0.0 for t, g in zip(text, truth, strict=True)])

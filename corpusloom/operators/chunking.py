@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusloom.functions import tokens
 from corpusloom.functions.text import words
@@ -22,7 +23,7 @@ def chunk_windows(docs: DataFrame, size: int = 128, overlap: int = 32) -> DataFr
     return out.select("doc_id", F.concat(F.col("doc_id").cast("string"), F.lit("#"), F.col("order").cast("string")).alias("chunk_id"), "order", F.array_join("w", " ").alias("content"))
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def sentence_chunks(text: pd.Series, size: pd.Series, overlap: pd.Series) -> pd.Series:
     """Sentences packed into chunks of at most `size` characters (a longer sentence is a chunk), each with the first
     `overlap` characters of the next one at its end."""

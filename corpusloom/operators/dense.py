@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import vector
 from corpusloom.functions.text import content_id
-from corpusloom.operators.ranking import top_k
+from corpusloom.operators.ranking import TopK, top_k
+from corpusloom.runtime import spread
 
 #: Cells of query vectors that are broadcast at once; more queries are searched in slices of that size.
 SLICE_CELLS = 20_000_000
@@ -22,13 +23,11 @@ SLICE_CELLS = 20_000_000
 def search(corpus: DataFrame, queries: DataFrame, k: int = 10, metric: str = "ip", corpus_id: str = "vec_id", query_id: str = "vec_id", exclude_self: bool = False) -> DataFrame:
     """(query_id, doc_id, score, rank): exact nearest vectors by inner product ('ip') or distance ('l2').
 
-    Queries are broadcast (in slices of a fixed size), the corpus is scanned once per slice in Arrow batches and multiplied as a matrix; each batch sends on
-    its k best of every query only, so the shuffle is k rows a query and batch."""
+    Queries are broadcast (in slices of a fixed size), the corpus is scanned once per slice in Arrow batches and multiplied as a matrix; each task sends on
+    its k best of every query only, so the shuffle is k rows a query and task."""
     if metric not in ("ip", "l2"):
         raise ValueError(metric)
-    n = queries.count()
-    width = queries.agg(F.max(F.size("embedding"))).first()[0] or 1
-    slices = max(1, -(-n * width // SLICE_CELLS))
+    slices = max(1, -(-(queries.agg(F.sum(F.size("embedding"))).first()[0] or 0) // SLICE_CELLS))
     out = None
     for s in range(slices):
         part = queries if slices == 1 else queries.filter(F.pmod(F.xxhash64(query_id), F.lit(slices)) == s)
@@ -41,33 +40,26 @@ def search(corpus: DataFrame, queries: DataFrame, k: int = 10, metric: str = "ip
 def _search_slice(corpus: DataFrame, queries: DataFrame, k: int, metric: str, corpus_id: str, query_id: str, exclude_self: bool) -> DataFrame:
     q = queries.select(F.col(query_id).cast("bigint").alias("i"), "embedding").filter("i is not null and embedding is not null").toArrow()
     ids = q.column("i").to_numpy()
-    vectors = np.array(q.column("embedding").to_pylist(), np.float64).reshape(len(ids), -1)
+    vectors = np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in q.column("embedding").chunks] or [np.zeros(0)]).astype(np.float64).reshape(len(ids), -1)
     shared = corpus.sparkSession.sparkContext.broadcast((ids, vectors))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         qi, qv = shared.value
+        best = TopK(len(qi), k, metric == "l2")
         for batch in batches:
-            if not len(qi) or not batch.num_rows:
-                continue
-            c = batch.column(0).to_numpy()
-            v = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(c), -1)
-            s = qv @ v.T
-            if metric == "l2":
-                s = np.sqrt(np.maximum((qv * qv).sum(1)[:, None] + (v * v).sum(1)[None, :] - 2 * s, 0))
-            s = np.round(s, 6) + 0.0
-            key = s if metric == "l2" else -s
-            if exclude_self:
-                key = np.where(qi[:, None] == c[None, :], np.inf, key)
-            m = min(k, len(c))
-            by_id = np.argsort(c, kind="stable")
-            order = by_id[np.argsort(key[:, by_id], axis=1, kind="stable")[:, :m]]
-            rows = np.repeat(np.arange(len(qi)), m)
-            at = order.reshape(-1)
-            ok = np.isfinite(key[rows, at])
-            rows, at = rows[ok], at[ok]
-            yield pa.RecordBatch.from_arrays([pa.array(qi[rows]), pa.array(c[at]), pa.array(s[rows, at])], ["query_id", "doc_id", "score"])
-
-    return corpus.select(F.col(corpus_id).cast("bigint").alias("i"), "embedding").filter("i is not null and embedding is not null").mapInArrow(run, "query_id bigint, doc_id bigint, score double")
+            for a in range(0, batch.num_rows if len(qi) else 0, 2048):
+                part = batch.slice(a, 2048)
+                v = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(part.num_rows, -1)
+                s = qv @ v.T
+                if metric == "l2":
+                    s = np.sqrt(np.maximum((qv * qv).sum(1)[:, None] + (v * v).sum(1)[None, :] - 2 * s, 0))
+                s = np.round(s, 6)
+                if exclude_self:
+                    s[qi[:, None] == part.column(0).to_numpy()[None, :]] = np.inf if metric == "l2" else -np.inf
+                best.add(part.column(0), s)
+        yield best.batch(qi)
+
+    return spread(corpus.select(corpus_id, "embedding")).select(F.col(corpus_id).cast("bigint").alias("i"), "embedding").filter("i is not null and embedding is not null").mapInArrow(run, "query_id bigint, doc_id bigint, score double")
 
 
 def nearest(left: DataFrame, right: DataFrame) -> DataFrame:

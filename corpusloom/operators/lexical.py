@@ -1,12 +1,22 @@
-"""BM25 over a postings table, as joins and aggregates; statistics are one-row plans, nothing is collected."""
+"""BM25: as matrix products over Arrow batches for question sets that fit a broadcast slice, and as joins over a postings table."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from types import SimpleNamespace
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import words
-from corpusloom.operators.ranking import top_k
+from corpusloom.functions.wordhash import hashed_words, norm
+from corpusloom.operators.ranking import TopK, top_k
+from corpusloom.runtime import small_batches, spread
+
+#: Cells (terms x questions) of the weight matrix that is broadcast at once; larger question sets are searched in slices of that size.
+SLICE_CELLS = 8_000_000
 
 
 def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -15,9 +25,96 @@ def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return tok.groupBy("doc", "term").agg(F.count("*").alias("tf"), F.first("dl").cast("bigint").alias("dl"))
 
 
+def _slices(queries: DataFrame, query_id: str, text_col: str) -> Iterator[SimpleNamespace]:
+    """Question sets of a bounded size: ids, sorted hashes of their terms, counts (terms x questions)."""
+    q = queries.select(F.col(query_id).cast("bigint").alias("i"), norm(text_col).alias("t")).filter("i is not null and t <> ''")
+    size = q.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size(F.split("t", " "))), F.lit(0)).alias("w")).first()
+    n = max(1, -(-size["n"] * min(size["w"], 200_000) // SLICE_CELLS))
+    for k in range(n):
+        part = (q if n == 1 else q.filter(F.pmod(F.xxhash64("i"), F.lit(n)) == k)).toArrow()
+        ids, hs, sizes = part.column("i").to_numpy(), [], []
+        for chunk in part.column("t").chunks:
+            for _, _, h, at in hashed_words(chunk):
+                hs.append(h)
+                sizes.append(np.diff(at))
+        if not len(ids):
+            continue
+        vocab, inv = np.unique(np.concatenate(hs), return_inverse=True)
+        counts = np.zeros((len(vocab), len(ids)))
+        np.add.at(counts, (inv, np.repeat(np.arange(len(ids)), np.concatenate(sizes))), 1)
+        yield SimpleNamespace(ids=ids, vocab=vocab, counts=counts)
+
+
+def _counts(h: np.ndarray, at: np.ndarray, vocab: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, term, count) of the terms that texts and the vocabulary share."""
+    term = np.minimum(np.searchsorted(vocab, h), len(vocab) - 1)
+    hit = np.flatnonzero(vocab[term] == h)
+    row = np.searchsorted(at, hit, "right") - 1
+    key, n = np.unique(row * len(vocab) + term[hit], return_counts=True)
+    return key // len(vocab), key % len(vocab), n
+
+
 def search(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = 0.9, b: float = 0.4, doc_id: str = "doc_id", query_id: str = "item_id", text_col: str = "text") -> DataFrame:
     """(query_id, doc_id, score, rank): the k best documents of every query. Equal scores (to 6 digits) go by id.
 
+    Two scans of the text, no shuffle of it: the first counts in how many documents each question term is (a row per
+    term and task), the second multiplies documents' term weights with the questions' and keeps each task's k best per
+    question. Questions are broadcast in slices of a bounded size. Ids are integers; a null id or text takes no part
+    as a question, and documents without an id aren't found."""
+    small_batches(docs.sparkSession)
+    texts = spread(docs.select(F.col(doc_id), F.col(text_col))).select(F.col(doc_id).cast("bigint").alias("i"), norm(text_col).alias("t"))
+    out = None
+    for s in _slices(queries, query_id, text_col):
+        found = _search_slice(texts, s, k, k1, b)
+        out = found if out is None else out.unionByName(found)
+    if out is None:
+        out = docs.sparkSession.createDataFrame([], "query_id bigint, doc_id bigint, score double")
+    return top_k(out, k, ["query_id"], [F.desc("score"), F.asc("doc_id")])
+
+
+def _search_slice(texts: DataFrame, s: SimpleNamespace, k: int, k1: float, b: float) -> DataFrame:
+    sc = texts.sparkSession.sparkContext
+    vocab = sc.broadcast(s.vocab)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = vocab.value
+        df, n, total = np.zeros(len(v), np.int64), 0, 0
+        for batch in batches:
+            for a, z, h, at in hashed_words(batch.column(1)):
+                n, total = n + z - a, total + len(h)
+                _, term, _ = _counts(h, at, v)
+                df += np.bincount(term, minlength=len(v))
+        on = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([[-1], on])), pa.array(np.concatenate([[n], df[on]])), pa.array(np.concatenate([[total], np.zeros(len(on), np.int64)]))], ["term", "n", "words"])
+
+    got = texts.mapInArrow(count, "term bigint, n bigint, words bigint").groupBy("term").agg(F.sum("n").alias("n"), F.sum("words").alias("words")).toArrow()  # a row per question term
+    term, n = got.column("term").to_numpy(), got.column("n").to_numpy()
+    n_docs = int(n[term < 0].sum())
+    avg = got.column("words").to_numpy().sum() / max(1, n_docs)
+    df = np.zeros(len(s.vocab))
+    df[term[term >= 0]] = n[term >= 0]
+    shared = sc.broadcast((s.ids, np.log(1 + (n_docs - df + 0.5) / (df + 0.5))[:, None] * s.counts))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v, (ids, weight) = vocab.value, shared.value
+        best = TopK(len(ids), k)
+        for batch in batches:
+            own = batch.column(0)
+            for a, z, h, at in hashed_words(batch.column(1)):
+                row, term, tf = _counts(h, at, v)
+                present, col = np.unique(term, return_inverse=True)
+                size = np.diff(at)[row]
+                m = np.zeros((z - a, len(present)))
+                m[row, col] = tf / (tf + k1 * (1 - b + b * size / avg))
+                best.add(own.slice(a, z - a), np.round((m @ weight[present]).T, 6), positive=True)
+        yield best.batch(ids)
+
+    return texts.filter("i is not null").mapInArrow(score, "query_id bigint, doc_id bigint, score double")
+
+
+def search_joined(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = 0.9, b: float = 0.4, doc_id: str = "doc_id", query_id: str = "item_id", text_col: str = "text") -> DataFrame:
+    """The same as joins and aggregates, for question sets as large as the corpus, or ids of any type.
+
     Only terms of the queries are followed from the scan on: the term list is joined before the documents' counts are
     shuffled, so the shuffle holds postings of query terms alone."""
     q = queries.select(F.col(query_id).alias("query_id"), F.explode(words(text_col)).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))

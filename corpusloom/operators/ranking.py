@@ -5,12 +5,41 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import words
 
 
+class TopK:
+    """The k best (score, id) of each of n queries seen by a task; equal scores go by id."""
+
+    def __init__(self, n: int, k: int, least: bool = False) -> None:
+        self.k, self.sign = k, 1.0 if least else -1.0
+        self.key, self.id = np.full((n, 0), np.inf), np.zeros((n, 0), np.int64)
+
+    def add(self, ids: pa.Array, scores: np.ndarray, positive: bool = False) -> None:
+        """Scores of queries (rows) and documents (columns); with positive, others than these don't count."""
+        c = ids.to_numpy(zero_copy_only=False)
+        key = self.sign * scores + 0.0
+        if positive:
+            key = np.where(scores > 0, key, np.inf)
+        if key.shape[1] > self.k:  # whoever is over the k-th can't be in; ties with it stay
+            bar = np.partition(key, self.k - 1, axis=1)[:, self.k - 1 : self.k]
+            on = (key <= bar).any(0)
+            key, c = key[:, on], c[on]
+        key, c = np.hstack([self.key, key]), np.hstack([self.id, np.broadcast_to(c, (len(key), len(c)))])
+        order = np.argsort(c, axis=1, kind="stable")
+        order = np.take_along_axis(order, np.argsort(np.take_along_axis(key, order, 1), axis=1, kind="stable"), 1)[:, : self.k]
+        self.key, self.id = np.take_along_axis(key, order, 1), np.take_along_axis(c, order, 1)
+
+    def batch(self, queries: np.ndarray) -> pa.RecordBatch:
+        r, c = np.nonzero(np.isfinite(self.key))
+        return pa.RecordBatch.from_arrays([pa.array(queries[r]), pa.array(self.id[r, c]), pa.array(self.sign * self.key[r, c] + 0.0)], ["query_id", "doc_id", "score"])
+
+
 def top_k(df: DataFrame, k: int | None, keys: Sequence[str], order: Sequence[Column], rank: str = "rank") -> DataFrame:
     """Rows with their rank within the keys, the first k only (Spark cuts before and after the shuffle)."""
     out = df.withColumn(rank, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))

@@ -33,3 +33,21 @@ def written(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def small_batches(spark: SparkSession, size: int = 4 << 20) -> None:
+    """Let Arrow batches hold at most `size` bytes (or one row): by default they are counted in rows, and thousands of
+    long texts don't fit a Python worker. A session that sets the limit itself is left alone."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, str(size))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A scan of few, small files over all cores; a scan with at least as many splits as cores, and any plan with an
+    exchange, is left as it is."""
+    plan = df._jdf.queryExecution()
+    if "Exchange" in plan.executedPlan().toString():
+        return df
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if plan.toRdd().getNumPartitions() < n else df

@@ -101,7 +101,7 @@ def answer_pairs(flat: DataFrame, asker: str = "user", teller: str = "assistant"
     return flat.withColumn("input", asked).filter((F.col("role") == teller) & F.col("input").isNotNull()).select("conv_id", "turn", "input", F.col("text").alias("output"))
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def document_lines(content: pd.Series, name: pd.Series) -> pd.Series:
     """Non-blank lines of a text or Markdown file's bytes; of PDF and DOCX files if their libraries are installed, else null."""
 
