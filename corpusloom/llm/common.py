@@ -1,125 +1,18 @@
-"""Shared pieces: session helpers, vectorised word hashing, sorted-run streaming and connected components.
-
-Words are what is left of a text after lower-casing and replacing every run of characters that are neither letters
-nor digits by one blank. The JVM does that (``norm``); Python then only sees Arrow buffers, which numpy hashes without
-creating one Python object per word.
-"""
+"""Shared pieces: ranks of word runs, sorted-run streaming and connected components."""
 
 from __future__ import annotations
 
-import sys
-import tempfile
-import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
-
-CHUNK = 1 << 20  # bytes of text that are hashed at once
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a folder of our own where none is set (tests)."""
-    if (d := spark.conf.get("spark.checkpoint.dir", None)) is None:
-        jsc = spark.sparkContext._jsc.sc()
-        d = jsc.getCheckpointDir().get() if jsc.getCheckpointDir().isDefined() else tempfile.mkdtemp(prefix="loom-")
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(d)
-    return d
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise into the shared folder and forget the lineage; survives the loss of executors."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def written(df: DataFrame) -> DataFrame:
-    """Like cut, but as a compressed Parquet table in the shared folder, for wide rows."""
-    path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
-def held(df: DataFrame) -> DataFrame:
-    """Keep for several readers; a lost part is computed again from its lineage."""
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
-
 
-def process_cache(name: str) -> dict:
-    """A dictionary that lives as long as the worker process (functions are shipped by value, so module globals don't)."""
-    store = sys.__dict__.setdefault("_corpusloom", {})
-    return store.setdefault(name, {})
+from corpusloom.functions.wordhash import CHUNK, _powers, buffers, hash_list, hashed_words, mix, norm, process_cache
+from corpusloom.runtime import cut, shared_dir, table, written
 
-
-def norm(text: str | Column) -> Column:
-    """Words of a text, lower-cased and separated by one blank; null counts as empty."""
-    col = F.col(text) if isinstance(text, str) else text
-    return F.trim(F.regexp_replace(F.lower(F.coalesce(col, F.lit(""))), r"[^\p{L}\p{N}]+", " "))
-
-
-def mix(h: np.ndarray) -> np.ndarray:
-    """Finaliser of splitmix64 on uint64."""
-    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    cache = process_cache("powers")
-    if cache.get("n", 0) < n:
-        size = max(n, CHUNK * 2)
-        p = 0x9E3779B97F4A7C15
-        inv = pow(p, -1, 1 << 64)
-        with np.errstate(over="ignore"):
-            up, down = np.full(size, p, np.uint64), np.full(size, inv, np.uint64)
-            up[0] = down[0] = 1
-            cache.update(n=size, up=np.cumprod(up, dtype=np.uint64), down=np.cumprod(down, dtype=np.uint64), byte=mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
-    return cache["up"], cache["down"], cache["byte"]
-
-
-def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Offsets (int64) and bytes of a string array without copying the bytes."""
-    wide = pa.types.is_large_string(texts.type) or pa.types.is_large_binary(texts.type)
-    _, off, data = texts.buffers()
-    offsets = np.frombuffer(off, np.int64 if wide else np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64) if len(texts) else np.zeros(1, np.int64)
-    return offsets, np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
-
-
-def hashed_words(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """For chunks of rows of normalised texts: first row, row behind the last, hash of every word, and for each row
-    where its words begin (one more entry than rows). A text is never split, however long."""
-    offsets, data = buffers(texts)
-    row, n = 0, len(texts)
-    while row < n:
-        stop = max(row + 1, int(np.searchsorted(offsets, offsets[row] + CHUNK, "right")) - 1)
-        stop = min(stop, n)
-        base, off = offsets[row], offsets[row : stop + 1] - offsets[row]
-        b = data[base : offsets[stop]]
-        full = off[1:] > off[:-1]
-        blanks = np.flatnonzero(b == 32)
-        starts = np.sort(np.concatenate([blanks + 1, off[:-1][full]]))
-        ends = np.sort(np.concatenate([blanks, off[1:][full]]))
-        up, down, byte = _powers(len(b) + 1)
-        with np.errstate(over="ignore"):
-            total = np.zeros(len(b) + 1, np.uint64)
-            np.cumsum(byte[b] * up[: len(b)], out=total[1:])
-            h = mix((total[ends] - total[starts]) * down[starts])
-        yield row, stop, h, np.searchsorted(starts, off)
-        row = stop
-
-
-def hash_list(words: list[str]) -> np.ndarray:
-    """Hashes of already normalised single words, equal to those of hashed_words."""
-    out = [h for *_, h, _ in hashed_words(pa.array(words, pa.string()))]
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+__all__ = ["CHUNK", "_powers", "buffers", "components", "cut", "hash_list", "hashed_words", "mix", "norm", "pair_rank", "process_cache", "run_bounds", "shared_dir", "sorted_runs", "table", "written"]
 
 
 def pair_rank(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -171,7 +64,3 @@ def components(edges: DataFrame) -> DataFrame:
         last = sign
     roots = cur.select(F.col("u").alias("id"), F.col("v").alias("root"))
     return roots.unionByName(roots.select(F.col("root").alias("id"), "root").distinct())
-
-
-def arrow_map(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
-    return df.mapInArrow(fn, schema)

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import hashed_words, norm
+from corpusloom.runtime import small_batches
 
 MIN_WORDS = 13
 SHARD_WORDS = 1 << 20
@@ -209,6 +210,7 @@ def _slice_matches(docs: DataFrame, test: TestSet, min_words: int) -> DataFrame:
         if ids:
             yield flush()
 
+    small_batches(docs.sparkSession)
     return docs.select("doc_id", norm("text").alias("t")).mapInArrow(run, "doc_id bigint, item_id bigint, doc_word bigint, item_word bigint, n_words bigint")
 
 

@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.runtime import small_batches
+
 #: Pages for training; the bound of the sample.
 MAX_TRAIN = 400
 PENALTY = 1.0
@@ -297,4 +299,5 @@ def extract(pages: DataFrame, model: Trees | None = None) -> DataFrame:
                 rows = [(None, 0, 0) if p is None else (page_text(p, q := next(ks)), len(q), int(q.sum())) for p in found]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64())], ["page_id", "text", "n_nodes", "n_kept"])
 
+    small_batches(pages.sparkSession)
     return pages.select("page_id", "html").mapInArrow(run, "page_id bigint, text string, n_nodes bigint, n_kept bigint")

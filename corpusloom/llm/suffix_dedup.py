@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import cut, hashed_words, norm, pair_rank, run_bounds, sorted_runs
+from corpusloom.runtime import small_batches
 
 THRESHOLD = 50
 
@@ -150,6 +151,7 @@ def repeats(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     document don't count. Null and empty texts and texts under `threshold` words have no row; rows without a doc_id are
     left out; rows that repeat a doc_id with the same text count once, and with another text their passages are
     those of one document; further columns are ignored; an empty table has no repeats."""
+    small_batches(docs.sparkSession)
     texts = docs.filter("doc_id is not null and text is not null").select("doc_id", norm("text").alias("t"))
     words = F.length("t") - F.length(F.replace("t", F.lit(" "), F.lit(""))) + 1
     # whole copies: the text's digest is all that is shuffled

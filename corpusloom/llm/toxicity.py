@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import CHUNK, _powers, buffers, mix, process_cache
+from corpusloom.runtime import small_batches
 
 LAMBDA = 0.8
 STRETCH = 8
@@ -34,8 +35,10 @@ LONG, PIECE = 16, 12
 #: Alphabet: 26 letters, one code for digits, five for the bytes of other characters.
 A = 32
 SIZE = A**ORDER
+#: Scores of words that a worker remembers; beyond, it starts anew.
+KNOWN = 500_000
 #: Documents for training, half of them toxic; the bound of the labelled sample.
-MAX_TRAIN = 2000
+MAX_TRAIN = 1600
 LANDMARKS = (64, 64)
 
 
@@ -131,9 +134,10 @@ def score_words(codes: list[np.ndarray], weight: np.ndarray) -> np.ndarray:
 
 
 def _unit_scores(b2: np.ndarray, s: np.ndarray, e: np.ndarray, weight: np.ndarray, model: str) -> tuple[np.ndarray, np.ndarray]:
-    cache = process_cache(f"toxicity-{model}")
-    if len(cache.get("h", ())) > 2_000_000:
+    cache = process_cache("toxicity-scores")
+    if cache.get("model") != model or len(cache.get("h", ())) > KNOWN:
         cache.clear()
+        cache["model"] = model
     known_h, known_v = cache.get("h", np.zeros(0, np.uint64)), cache.get("v", np.zeros(0))
     up, down, byte = _powers(len(b2) + 1)
     total = np.zeros(len(b2) + 1, np.uint64)
@@ -378,6 +382,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 row = stop
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(best), pa.array(count)], ["doc_id", "score", "worst_sentences"])
 
+    small_batches(docs.sparkSession)
     return docs.select("doc_id", F.lower(F.coalesce("text", F.lit(""))).alias("t")).mapInArrow(run, "doc_id bigint, score double, worst_sentences bigint")
 
 
@@ -412,4 +417,5 @@ def without_toxic(docs: DataFrame, labels: DataFrame, model: Model | None = None
                 row = stop
             yield pa.RecordBatch.from_arrays(batch.filter(pa.array(~bad)).columns[:-1], schema=pa.schema(list(batch.schema)[:-1]))
 
+    small_batches(docs.sparkSession)
     return docs.select(*cols, F.lower(F.coalesce("text", F.lit(""))).alias("__loom_t")).mapInArrow(run, docs.schema)

@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.runtime import small_batches
+
 PIECE = 1 << 18
 #: Pages per file of the test archive.
 PAGES_PER_FILE = 256
@@ -145,6 +147,7 @@ def normalise(files: DataFrame, level: int = 6) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in rows], schema)
 
+    small_batches(files.sparkSession)
     return files.select("file", "content").mapInArrow(run, INDEX)
 
 
