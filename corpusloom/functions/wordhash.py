@@ -85,3 +85,19 @@ def hash_list(words: list[str]) -> np.ndarray:
     """Hashes of already normalised single words, equal to those of hashed_words."""
     out = [h for *_, h, _ in hashed_words(pa.array(words, pa.string()))]
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
+
+
+def pair_rank(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Name of the concatenation of two named strings."""
+    with np.errstate(over="ignore"):
+        return mix(a * np.uint64(0x9E3779B97F4A7C15) + (b ^ (b >> np.uint64(29))) * np.uint64(0xC2B2AE3D27D4EB4F))
+
+
+def run_names(words: np.ndarray, width: int) -> np.ndarray:
+    """Name of the `width` words from each position on; the last width - 1 positions have none."""
+    r, w = words, 1
+    while w < width:
+        step = min(w, width - w)
+        r = pair_rank(r[: len(r) - step], r[step:]) if len(r) > step else r[:0]
+        w += step
+    return r

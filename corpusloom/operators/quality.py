@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import hash_number, normalize_text
+from corpusloom.functions.wordhash import hashed_words, norm, run_names
 from corpusloom.operators.ranking import top_k
+from corpusloom.runtime import small_batches, spread
+
+#: Passages whose runs are broadcast at once.
+MAX_KEYS = 2_000_000
 
 
 def first_of_each(df: DataFrame, key: Column, order: Sequence[Column]) -> DataFrame:
@@ -40,15 +47,42 @@ def exclude(rows: DataFrame, gold: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def containment(docs: DataFrame, passages: DataFrame, k: int = 8) -> DataFrame:
-    """(query_id, doc_id) of documents that contain a passage as they stand. Texts meet by a word run (the passage's first k
-    words), so texts are compared for these pairs only; passages of under k words meet by their first word."""
-    split = lambda c: F.filter(F.split(c, r"\s+"), lambda w: w != "")
-    p = passages.select(F.col("item_id").alias("query_id"), F.col("text").alias("p_text"), split(F.col("text")).alias("w")).withColumn("n", F.least(F.size("w"), F.lit(k)))
-    # the passage's last word may go on in the document, and its first may be the end of one
-    p = p.withColumn("key", F.array_join(F.slice("w", 2, F.greatest(F.lit(1), F.col("n") - 2)), " ")).filter(F.size("w") > k)
-    d = docs.select("doc_id", "text", split(F.col("text")).alias("w")).withColumn("key", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - (k - 2) + 1)), lambda i: F.array_join(F.slice(F.col("w"), i, k - 2), " "))))).select("doc_id", "key")
-    pairs = d.join(p.select("query_id", "key"), "key").select("doc_id", "query_id").distinct()
-    return pairs.join(docs.select("doc_id", "text"), "doc_id").join(p.select("query_id", "p_text"), "query_id").filter(F.contains("text", "p_text")).select("query_id", "doc_id")
+    """(query_id, doc_id) of documents that contain a passage as it stands; passages of at most k words aren't looked for.
+
+    A scan names every run of k - 2 words of a document and keeps pairs whose run is that behind a passage's first word
+    (its ends may be parts of words); only these pairs are compared as texts. The passages' runs are broadcast in slices of a bounded size."""
+    small_batches(docs.sparkSession)
+    keys = passages.select(F.col("item_id").cast("bigint").alias("i"), norm("text").alias("t")).filter(F.size(F.split("t", " ")) > k)
+    slices = max(1, -(-keys.count() // MAX_KEYS))
+    out = None
+    for n in range(slices):
+        part = (keys if slices == 1 else keys.filter(F.pmod(F.xxhash64("i"), F.lit(slices)) == n)).toArrow()
+        ids, names = part.column("i").to_numpy(), []
+        for chunk in part.column("t").chunks:
+            for _, _, h, at in hashed_words(chunk):
+                names.append(run_names(h, k - 2)[at[:-1] + 1])
+        names = np.concatenate(names) if names else np.zeros(0, np.uint64)
+        order = np.argsort(names, kind="stable")
+        shared = docs.sparkSession.sparkContext.broadcast((names[order], ids[order]))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
+            name, query = shared.value
+            for batch in batches:
+                for a, z, h, at in hashed_words(batch.column(1)) if len(name) else ():
+                    r = run_names(h, k - 2)
+                    lo, hi = np.searchsorted(name, r, "left"), np.searchsorted(name, r, "right")
+                    hit = np.flatnonzero(hi > lo)
+                    hit = np.repeat(hit, (hi - lo)[hit])
+                    first = np.concatenate([[True], hit[1:] != hit[:-1]]) if len(hit) else np.zeros(0, bool)
+                    nth = np.arange(len(hit)) - np.maximum.accumulate(np.where(first, np.arange(len(hit)), 0)) if len(hit) else hit
+                    doc = np.searchsorted(at, hit, "right") - 1
+                    pairs = np.unique(np.stack([query[lo[hit] + nth], doc]), axis=1) if len(hit) else np.zeros((2, 0), np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), batch.column(0).slice(a, z - a).take(pa.array(pairs[1]))], ["query_id", "doc_id"])
+
+        found = spread(docs.select("doc_id", "text")).select(F.col("doc_id").cast("bigint").alias("doc_id"), norm("text").alias("t")).filter("doc_id is not null").mapInArrow(run, "query_id bigint, doc_id bigint")
+        out = found if out is None else out.unionByName(found)
+    texts = passages.select(F.col("item_id").alias("query_id"), F.col("text").alias("p_text"))
+    return out.distinct().join(docs.select("doc_id", "text"), "doc_id").join(texts, "query_id").filter(F.contains("text", "p_text")).select("query_id", "doc_id").distinct()
 
 
 def hash_order(key: Column, seed: int) -> Column:
