@@ -1,4 +1,4 @@
-"""Shared pieces: ranks of word runs, sorted-run streaming and connected components."""
+"""Shared pieces: sorted-run streaming and connected components."""
 
 from __future__ import annotations
 
@@ -9,18 +9,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.functions.wordhash import CHUNK, _powers, buffers, hash_list, hashed_words, mix, norm, process_cache
+from corpusloom.functions.wordhash import CHUNK, _powers, buffers, hash_list, hashed_words, mix, norm, pair_rank, process_cache
 from corpusloom.runtime import cut, shared_dir, table, written
 
 __all__ = ["CHUNK", "_powers", "buffers", "components", "cut", "hash_list", "hashed_words", "mix", "norm", "pair_rank", "process_cache", "run_bounds", "shared_dir", "sorted_runs", "table", "written"]
 
 
-def pair_rank(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Name of the concatenation of two named strings."""
-    with np.errstate(over="ignore"):
-        return mix(a * np.uint64(0x9E3779B97F4A7C15) + (b ^ (b >> np.uint64(29))) * np.uint64(0xC2B2AE3D27D4EB4F))
-
-
 def sorted_runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.RecordBatch]:
     """Rebatch rows that come sorted by key so that no run of equal keys is divided between two batches."""
     rest: list[pa.RecordBatch] = []

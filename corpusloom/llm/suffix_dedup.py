@@ -22,7 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import cut, hashed_words, norm, pair_rank, run_bounds, sorted_runs
+from corpusloom.llm.common import cut, hashed_words, norm, run_bounds, sorted_runs
+from corpusloom.functions.wordhash import run_names
 from corpusloom.runtime import small_batches
 
 THRESHOLD = 50
@@ -33,17 +34,6 @@ def levels(threshold: int) -> list[int]:
     return sorted({w for w in (-(-threshold // 4), -(-threshold // 2), threshold) if w >= 1})
 
 
-def ranks(words: np.ndarray, width: int) -> np.ndarray:
-    """Rank of the `width` words from each position on; the last width - 1 positions have none. Doubles the offset as
-    long as it fits, then takes the offset that is left."""
-    r, w = words, 1
-    while w < width:
-        step = min(w, width - w)
-        r = pair_rank(r[: len(r) - step], r[step:]) if len(r) > step else r[:0]
-        w += step
-    return r
-
-
 def _slide(x: np.ndarray, window: int, reduce) -> np.ndarray:  # noqa: ANN001
     """Reduction over each window, from its first position."""
     y, w = x, 1
@@ -81,7 +71,7 @@ def _emit(width: int, threshold: int):  # noqa: ANN202
             left = batch.column(2) if batch.num_columns > 2 else None
             ids = batch.column(0).to_numpy()
             for a, z, h, at in hashed_words(batch.column(1)):
-                r = ranks(h, width)
+                r = run_names(h, width)
                 n = np.maximum(np.diff(at) - width + 1, 0)
                 # a document with fewer words than the threshold can't hold a passage
                 n = np.where(np.diff(at) >= threshold, n, 0)
