@@ -30,11 +30,14 @@ class WarcError(ValueError):
 
 def inflate(pieces: Iterator[bytes]) -> Iterator[bytes]:
     """Bytes of a gzip stream of one or several members, or of plain bytes."""
-    z, start = None, True
+    z, head, start, within = None, b"", True, False
     for piece in pieces:
-        if start and piece:
+        if start:
+            head += piece
+            if len(head) < 2:
+                continue
+            piece, start = head, False
             z = zlib.decompressobj(31) if piece[:2] == b"\x1f\x8b" else None
-            start = False
         if z is None:
             yield piece
             continue
@@ -43,14 +46,14 @@ def inflate(pieces: Iterator[bytes]) -> Iterator[bytes]:
                 yield z.decompress(piece)
             except zlib.error as e:
                 raise WarcError(f"gzip stream: {e}") from e
+            within = not z.eof
             piece = z.unused_data
-            if z.eof and piece:
+            if z.eof:
                 piece = piece.lstrip(b"\0")  # padding between members
                 z = zlib.decompressobj(31)
-            elif z.eof:
-                z = zlib.decompressobj(31)
-                break
-    if z is not None and not z.eof and z.unconsumed_tail == b"" and z.flush(1):
+    if start and head:
+        yield head
+    if within:
         raise WarcError("gzip stream ends early")
 
 
