@@ -83,9 +83,9 @@ def aligned_json(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
 
 
 def text_folder(spark: SparkSession, folder: str, kind: str = "txt", streaming: bool = False) -> DataFrame:
-    """Lines (txt) or `text` fields (jsonl) of all files under a folder, non-blank; streaming gives an unbounded table."""
+    """Lines (txt and other kinds) or `text` fields (jsonl) of all files under a folder, non-blank; streaming gives an unbounded table."""
     reader = (spark.readStream if streaming else spark.read).option("recursiveFileLookup", "true").option("pathGlobFilter", f"*.{kind}")
-    rows = reader.schema("value string").text(folder) if kind == "txt" else reader.schema("text string").json(folder)
+    rows = reader.schema("value string").text(folder) if kind != "jsonl" else reader.schema("text string").json(folder)
     return rows.toDF("text").filter(F.trim("text") != "")
 
 
