@@ -10,7 +10,8 @@ landmark is the sum over the sentence's distinct words (a convolution kernel).
 Training (driver, on a bounded sample of labelled documents): words that go with toxic documents and frequent words of
 clean ones are landmarks; a sentence's kernel values with them, whitened (Nystroem), are its features; a linear SVM
 with squared hinge loss separates sentences. Labels are of documents, so toxic sentences are those of toxic
-documents with a landmark or, in later rounds, those that the machine rejects (MI-SVM). The decision function is a sum over fours of characters, so the model
+documents with a landmark or, in later rounds, those that the machine rejects (MI-SVM); landmarks with an inserted
+character are further examples. The decision function is a sum over fours of characters, so the model
 is one table of 32^4 weights; scoring is exact, in numpy on Arrow buffers, and keeps known words' scores.
 """
 
@@ -336,12 +337,15 @@ def train(toxic: list[str], clean: list[str], seed: int = 7) -> Model:
     guess = np.array([weighty[s].sum() for d in pos for s in d])
     told = np.isin(ip, ip[guess > 0])  # toxic documents without any landmark are taken for label noise
     xp, guess, named = xp[told], guess[told], guess[told] > 0
+    # landmarks with one more character within them are toxic too
+    twisted = [w[:k] + c + w[k:] for i in marks for w in [words[i]] for k in range(2, len(w) - 1) for c in (b"x", b"e") if len(w) < LONG]
+    xm = (_kernels(twisted, phi, where, code) @ white).astype(np.float32)
     for _ in range(3):
         bad = named | (guess > 0)
-        w, bias = svm(xp[bad], xn)
+        w, bias = svm(np.vstack([xp[bad], xm]), xn)
         guess = xp @ w + bias
     # between nearly all clean stretches (a few labels are wrong) and the weaker toxic ones
-    high, low = float(np.quantile(xn @ w, 0.9999)), float(np.quantile(xp[named] @ w, 0.05))
+    high, low = float(np.quantile(xn @ w, 0.9999)), float(np.quantile(np.concatenate([xp[named] @ w, xm @ w]), 0.05))
     threshold = high + 0.5 * max(0.0, low - high)
     table = np.zeros(SIZE)
     table[where >= 0] = (phi.T @ (white @ w))[where[where >= 0]]
