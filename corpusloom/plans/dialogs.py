@@ -153,7 +153,7 @@ def gsm8k_extract(spark: SparkSession, d: str) -> DataFrame:
     return x.select("conv_id", "turn", rewards.last_number("text").alias("last"), rewards.strict_number("s").alias("strict"), rewards.number_reward("s", "g").alias("reward"))
 
 
-@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 0.1::DOUBLE WHEN o_orderkey % 3 = 1 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS reward FROM orders WHERE o_orderkey <= 500""")
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 2 THEN 0.0::DOUBLE WHEN o_orderkey % 3 = 0 AND o_custkey <> 0 THEN 0.1::DOUBLE ELSE 1.0::DOUBLE END AS reward FROM orders WHERE o_orderkey <= 500""")
 def countdown_numbers(spark: SparkSession, d: str) -> DataFrame:
     """Equations over an order's two keys: wrong numbers, the right sum, none."""
     a, b = F.col("o_orderkey"), F.col("o_custkey")
