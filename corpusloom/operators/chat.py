@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import tokens
+from corpusloom.functions.templates import TEMPLATES
 from corpusloom.functions.text import words
 
 ROLES = {"human": "user", "user": "user", "observation": "user", "gpt": "assistant", "assistant": "assistant", "function_call": "assistant", "system": "system"}
@@ -167,27 +168,6 @@ def first_split(splits: dict[str, DataFrame], order: tuple[str, ...] = ("test",
     return next(splits[s] for s in order if s in splits)
 
 
-#: name: (system prompt, prompt of one question, separator). More are registered with register_template.
-TEMPLATES: dict[str, tuple[str, str, str]] = {
-    "base": ("", "{query}", "</s>"),
-    "alpaca": ("Below is an instruction that describes a task. Write a response that completes it.", "### Instruction:\n{query}\n\n### Response:\n", "\n\n"),
-    "chatml": ("You are a helpful assistant.", "<|im_start|>user\n{query}<|im_end|>\n<|im_start|>assistant\n", "<|im_end|>\n"),
-    "vicuna": ("A chat between a curious user and an assistant.", "USER: {query} ASSISTANT:", "</s>"),
-    "llama2": ("", "[INST] {query} [/INST]", "</s>"),
-    "llama3": ("", "<|start_header_id|>user<|end_header_id|>\n\n{query}<|eot_id|><|start_header_id|>assistant<|end_header_id|>\n\n", "<|eot_id|>"),
-    "mistral": ("", "[INST] {query} [/INST]", "</s>"),
-    "zephyr": ("", "<|user|>\n{query}</s><|assistant|>\n", "</s>\n"),
-    "deepseek": ("", "User: {query}\n\nAssistant:", "</s>"),
-    "baichuan": ("", "<reserved_106>{query}<reserved_107>", "</s>"),
-    "yi": ("", "<|im_start|>user\n{query}<|im_end|>\n<|im_start|>assistant\n", "<|im_end|>\n"),
-    "qwen": ("You are a helpful assistant.", "<|im_start|>user\n{query}<|im_end|>\n<|im_start|>assistant\n", "<|im_end|>\n"),
-}
-
-
-def register_template(name: str, system: str, prompt: str, sep: str) -> None:
-    TEMPLATES[name] = (system, prompt, sep)
-
-
 def render(pairs: Column, template: str, system: Column | None = None) -> Column:
     """array<string> dialog of prompts and answers in turn by a template."""
     own, prompt, sep = TEMPLATES[template]
