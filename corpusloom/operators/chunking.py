@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from corpusloom.functions import tokens
 from corpusloom.functions.text import words
+from corpusloom.runtime import spread
 
 
 def chunk_windows(docs: DataFrame, size: int = 128, overlap: int = 32) -> DataFrame:
@@ -19,7 +20,7 @@ def chunk_windows(docs: DataFrame, size: int = 128, overlap: int = 32) -> DataFr
     crosses a section; order counts through the document; blank sections have none."""
     tok = lambda c: F.filter(F.split(c, r"\s+"), lambda w: w != "")
     per = F.flatten(F.filter(F.transform(F.split("text", "\n"), lambda s: tokens.windows(tok(s), size, overlap)), lambda w: w.isNotNull()))
-    out = docs.select("doc_id", F.posexplode(per).alias("order", "w"))
+    out = spread(docs.select("doc_id", "text")).select("doc_id", F.posexplode(per).alias("order", "w"))
     return out.select("doc_id", F.concat(F.col("doc_id").cast("string"), F.lit("#"), F.col("order").cast("string")).alias("chunk_id"), "order", F.array_join("w", " ").alias("content"))
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import words
+from corpusloom.runtime import spread
 
 
 class TopK:
@@ -101,7 +102,7 @@ def overlap_score(query: Column, document: Column) -> Column:
 
 def rerank(pairs: DataFrame, queries: DataFrame, docs: DataFrame, k: int | None = None, scorer: Callable[[Column, Column], Column] = overlap_score, query_id: str = "item_id") -> DataFrame:
     """Candidates by a pair score, ties by id. scorer takes the columns of query and document texts (a Pandas UDF for a model)."""
-    both = pairs.join(queries.select(F.col(query_id).alias("query_id"), F.col("text").alias("q_text")), "query_id").join(docs.select("doc_id", F.col("text").alias("d_text")), "doc_id")
+    both = pairs.join(queries.select(F.col(query_id).alias("query_id"), F.col("text").alias("q_text")), "query_id").join(spread(docs.select("doc_id", F.col("text").alias("d_text"))), "doc_id")
     scored = both.select("query_id", "doc_id", F.round(scorer(F.col("q_text"), F.col("d_text")), 6).alias("score"))
     return top_k(scored, k, ["query_id"], [F.desc("score"), F.asc("doc_id")])
 
