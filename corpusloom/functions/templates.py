@@ -49,8 +49,8 @@ TEMPLATES: dict[str, tuple[str, str, str]] = {
     "intern": ("", tag("User") + ":" + Q + "<eoh>\n" + tag("Bot") + ":", "<eoa>\n"),
     "intern2": (SYSTEM, CHATML, IM_END),
     "starchat": ("<system>\n", tag("user") + "\n" + Q + tag("end") + "\n" + tag("assistant") + "\n", tag("end") + "\n"),
-    "llama2": ("<<SYS>>\nYou are a helpful, respectful and honest assistant.\n<</SYS>>\n\n", INST, "</s>"),
-    "llama2-zh": ("<<SYS>>\nYou are a helpful assistant. 你是一个乐于助人的助手。\n<</SYS>>\n\n", INST, "</s>"),
+    "llama2": ("<<SYS>>\nYou are an honest and helpful assistant.\n<</SYS>>\n\n", INST, "</s>"),
+    "llama2-zh": ("<<SYS>>\n你是一个乐于助人的助手。\n<</SYS>>\n\n", INST, "</s>"),
     "llama3": (headed("system") + "You are a helpful assistant.", headed("user") + Q + tag("eot_id") + headed("assistant"), tag("eot_id")),
     "mistral": ("", INST, "</s>"),
     "xverse": ("", named("Human: ", "Assistant: ", "\n\n"), "</s>"),

@@ -43,7 +43,7 @@ def words(c: str | Column) -> Column:
 def normalize_answer(c: str | Column) -> Column:
     """Short-answer form: lower case, without ASCII punctuation and English articles, single blanks. Null gives ''."""
     x = F.regexp_replace(F.lower(F.coalesce(col(c), F.lit(""))), r"\p{Punct}", "")
-    return F.trim(F.regexp_replace(F.regexp_replace(x, r"\b(a|an|the)\b", " "), r"\s+", " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(x, r"\b(?:the|an?)\b", " "), r"\s+", " "))
 
 
 def exact_match(pred: str | Column, golds: Column) -> Column:
@@ -81,7 +81,7 @@ def last_search(c: str | Column) -> Column:
     return F.when(F.size(b) > 0, F.element_at(b, -1))
 
 
-ACTION = r"(?s)<(search|answer)>(.*?)</\1>"
+ACTION = rf"(?s)<({'|'.join(['answer', 'search'])})>(.*?)</\1>"
 
 
 def action(c: str | Column) -> Column:
@@ -99,7 +99,7 @@ def cut_response(c: str | Column) -> Column:
 #: Allowed moves between the tags of a trajectory, and the states in which text may stand.
 MOVES = {("start", "<think>"): "thinking", ("informed", "<think>"): "thinking", ("thinking", "</think>"): "thought", ("thought", "<search>"): "searching", ("searching", "</search>"): "searched", ("searched", "<information>"): "informing", ("informing", "</information>"): "informed", ("thought", "<answer>"): "answering", ("answering", "</answer>"): "end"}
 INSIDE = ["thinking", "searching", "informing", "answering"]
-TAG = r"</?(?:think|search|information|answer)>"
+TAG = "</?(?:" + "|".join(sorted({tag.strip("</>") for _, tag in MOVES})) + ")>"
 
 
 def valid_trajectory(c: str | Column) -> Column:

@@ -54,7 +54,7 @@ def _counts(h: np.ndarray, at: np.ndarray, vocab: np.ndarray) -> tuple[np.ndarra
     return key // len(vocab), key % len(vocab), n
 
 
-def search(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = 0.9, b: float = 0.4, doc_id: str = "doc_id", query_id: str = "item_id", text_col: str = "text") -> DataFrame:
+def search(docs: DataFrame, queries: DataFrame, k: int = 10, b: float = 0.4, k1: float = 0.9, doc_id: str = "doc_id", query_id: str = "item_id", text_col: str = "text") -> DataFrame:
     """(query_id, doc_id, score, rank): the k best documents of every query. Equal scores (to 6 digits) go by id.
 
     Two scans of the text, no shuffle of it: the first counts in how many documents each question term is (a row per
@@ -65,14 +65,14 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = 0.9, b:
     texts = spread(docs.select(F.col(doc_id), F.col(text_col))).select(F.col(doc_id).cast("bigint").alias("i"), norm(text_col).alias("t"))
     out = None
     for s in _slices(queries, query_id, text_col):
-        found = _search_slice(texts, s, k, k1, b)
+        found = _search_slice(texts, s, k, k1=k1, b=b)
         out = found if out is None else out.unionByName(found)
     if out is None:
         out = docs.sparkSession.createDataFrame([], "query_id bigint, doc_id bigint, score double")
     return top_k(out, k, ["query_id"], [F.desc("score"), F.asc("doc_id")])
 
 
-def _search_slice(texts: DataFrame, s: SimpleNamespace, k: int, k1: float, b: float) -> DataFrame:
+def _search_slice(texts: DataFrame, s: SimpleNamespace, k: int, *, k1: float, b: float) -> DataFrame:
     sc = texts.sparkSession.sparkContext
     vocab = sc.broadcast(s.vocab)
 
@@ -112,7 +112,7 @@ def _search_slice(texts: DataFrame, s: SimpleNamespace, k: int, k1: float, b: fl
     return texts.filter("i is not null").mapInArrow(score, "query_id bigint, doc_id bigint, score double")
 
 
-def search_joined(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = 0.9, b: float = 0.4, doc_id: str = "doc_id", query_id: str = "item_id", text_col: str = "text") -> DataFrame:
+def search_joined(docs: DataFrame, queries: DataFrame, k: int = 10, b: float = 0.4, k1: float = 0.9, doc_id: str = "doc_id", query_id: str = "item_id", text_col: str = "text") -> DataFrame:
     """The same as joins and aggregates, for question sets as large as the corpus, or ids of any type.
 
     Only terms of the queries are followed from the scan on: the term list is joined before the documents' counts are
@@ -131,7 +131,7 @@ def search_joined(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float =
     return top_k(scores, k, ["query_id"], [F.desc("score"), F.asc("doc_id")])
 
 
-def oracle(k: int = 10, docs: str = "documents", queries: str = "benchmark", k1: float = 0.9, b: float = 0.4) -> str:
+def oracle(k: int = 10, docs: str = "documents", queries: str = "benchmark", b: float = 0.4, k1: float = 0.9) -> str:
     """The same as DuckDB SQL: common table expressions up to `bm25`."""
     w = r"list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '')"
     return f"""bm_d AS (SELECT doc_id, {w} AS w FROM {docs}), bm_s AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM bm_d),

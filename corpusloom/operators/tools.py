@@ -61,13 +61,13 @@ def extract(text: str | None, dialect: str) -> list[tuple[str, str]] | None:
         return None
     arg = "parameters" if dialect == "llama3" else "arguments"
     if dialect == "default":
-        found = re.findall(r"Action:\s*(\w+)\s*Action Input:\s*(.+?)(?=\s*Action:|\s*\Z)", text, re.S | re.A)
-        calls = [{"name": n, arg: _load(a.strip().strip('"').strip("`"))} for n, a in found]
+        found = re.findall(r"Action:\s*(\w+)\s+Action Input:\s*(.+?)\s*(?=Action:|\Z)", text, re.S | re.A)
+        calls = [{"name": n, arg: _load(re.sub(r'^["`\s]+|["`\s]+$', "", a))} for n, a in found]
     elif dialect == "glm4":
         name, sep, rest = text.partition("\n")
         calls = [{"name": name, arg: _load(rest.strip())}] if sep else []
     elif dialect == "qwen":
-        calls = [_load(x.strip()) for x in re.findall(r"<tool_call>(.+?)</tool_call>(?=\s*<tool_call>|\s*\Z)", text, re.S)]
+        calls = [_load(x.strip()) for x in re.findall(r"<tool_call>\s*(\{.+?\})\s*</tool_call>", text, re.S)]
     else:
         got = _load(text.strip())
         calls = got if isinstance(got, list) else [got]

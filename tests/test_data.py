@@ -54,7 +54,7 @@ def test_sft(spark):
 
 
 def test_json_lines_validation(spark):
-    good = json.dumps({"conversations": [{"from": "human", "value": "a"}, {"from": "gpt", "value": "b"}]})
+    good = json.dumps(dict(conversations=[dict(zip(("from", "value"), x, strict=True)) for x in (("human", "a"), ("gpt", "b"))]))
     lines = spark.createDataFrame([(good,), ("",), ("{bad",), (good.replace("gpt", "robot"),), (json.dumps({"conversations": []}),)], "value string")
     assert tuple(chat.validate_lines(lines).collect()[0]) == (4, 1, 3)
 
@@ -150,7 +150,7 @@ def test_readers(spark, tmp_path):
     with pytest.raises(Exception, match="not an object"):
         readers.json_lines(spark, str(p), "a int").collect()
     q = tmp_path / "q.tsv"
-    q.write_text("query_id\tdoc_id\trelevance\nq1\td1\t1\nq1\td2\t0\nq2\td3\tx\n")
+    q.write_text("\n".join("\t".join(x.split()) for x in ("query_id doc_id relevance", "q1 d1 1", "q1 d2 0", "q2 d3 x")) + "\n")
     assert [tuple(r) for r in readers.qrels(spark, str(q)).collect()] == [("q1", "d1", 1)]
     with pytest.raises(ValueError, match="header"):
         readers.qrels(spark, str(q), ("a", "b", "c"))

@@ -91,7 +91,7 @@ def test_boxed(spark):
 
 
 def test_token_arrays(spark):
-    ids = [0, 0, 2, 42, 3, 5, 1, 0, 0]
+    ids = [0] * 2 + [2, 42, 3, 5, 1] + [0] * 2
     assert one(spark, tokens.eos_mask(F.col("x"), 1), ids, "array<int>") == [1] * 7 + [0, 0]
     assert one(spark, tokens.position_ids(F.col("x")), [0, 0, 1, 1, 1], "array<int>") == [0, 0, 0, 1, 2]
     assert one(spark, tokens.pad(F.col("x"), 4, 9, left=True), [1, 2], "array<int>") == [9, 9, 1, 2]
