@@ -193,7 +193,7 @@ def html_paragraphs(c: str | Column) -> Column:
 def link_kept(url: str | Column) -> Column:
     """Whether a link looks like a page: its path's extension is none or one of HTML."""
     path = F.regexp_extract(col(url), r"^[a-zA-Z]+://[^/?#]+([^?#]*)", 1)
-    return F.lower(F.regexp_extract(path, r"(\.[a-zA-Z0-9]+)$", 1)).isin("", ".html", ".htm", ".shtml")
+    return F.lower(F.regexp_extract(path, r"(\.[a-zA-Z0-9]+)$", 1)).isin(".htm", ".html", "", ".shtml")
 
 
 def hash_number(key: Column, start: int = 1, digits: int = 8) -> Column:

@@ -48,11 +48,15 @@ def sentence_chunks(text: pd.Series, size: pd.Series, overlap: pd.Series) -> pd.
     return pd.Series([pack(t, n, o) for t, n, o in zip(text, size, overlap, strict=True)])
 
 
-def pack_tokens(docs: DataFrame, block: int, group: str, eos: str = "</s>") -> DataFrame:
+def pack_tokens(docs: DataFrame, block: int, group: str, eos: str = "</s>", bucket: int = 1000) -> DataFrame:
     """(group, block_no, input_ids): a group's documents in id order, each with an end mark, as one sequence cut into
-    blocks; the short last block is kept only if it is the group's only one. Labels are the ids."""
-    d = docs.select(group, "doc_id", F.concat(words("text"), F.array(F.lit(eos))).alias("w"))
-    end = F.sum(F.size("w").cast("bigint")).over(Window.partitionBy(group).orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0))
+    blocks; the short last block is kept only if it is the group's only one. Labels are the ids. Documents without a group or an
+    id are left out. A document's place is found in two levels, buckets of ids and documents in them, so a large group isn't sorted by one task."""
+    d = spread(docs.select(group, "doc_id", "text")).filter(F.col(group).isNotNull() & F.col("doc_id").isNotNull()).select(group, "doc_id", F.floor(F.col("doc_id") / bucket).alias("bucket"), F.concat(F.coalesce(words("text"), F.array().cast("array<string>")), F.array(F.lit(eos))).alias("w"))
+    sums = d.groupBy(group, "bucket").agg(F.sum(F.size("w").cast("bigint")).alias("n"))
+    at = sums.select(group, "bucket", F.coalesce(F.sum("n").over(Window.partitionBy(group).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    end = F.col("before") + F.sum(F.size("w").cast("bigint")).over(Window.partitionBy(group, "bucket").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0))
+    d = d.join(at, [group, "bucket"])
     # positions are known from sizes; tokens are cut by block within their document, not one row per token
     at = d.withColumn("begin", end - F.size("w")).withColumn("size", F.size("w"))
     first, last = F.floor(F.col("begin") / block), F.floor((F.col("begin") + F.col("size") - 1) / block)

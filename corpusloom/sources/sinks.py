@@ -33,11 +33,11 @@ def collection(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
     return chunks.select(F.col("chunk_id").alias("id"), F.col("content").alias("contents")), chunks.select("chunk_id", "doc_id", "order")
 
 
-def manifest(tables: dict[str, tuple[DataFrame, str]]) -> DataFrame:
-    """(name, n_rows, digest) of tables (frame, key): what a frozen data set is checked against."""
+def manifest(tables: dict[str, DataFrame]) -> DataFrame:
+    """(name, n_rows, digest) of tables: what a frozen data set is checked against."""
     out = None
-    for name, (df, key) in sorted(tables.items()):
-        row = digest(df, key).select(F.lit(name).alias("name"), "n_rows", "digest")
+    for name, df in sorted(tables.items()):
+        row = digest(df).select(F.lit(name).alias("name"), "n_rows", "digest")
         out = row if out is None else out.unionByName(row)
     return out
 

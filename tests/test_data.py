@@ -130,9 +130,9 @@ def test_quality(spark):
     assert [(r.doc_id, r.side) for r in quality.id_difference(docs, docs.filter("doc_id < 4"), "doc_id").collect()] == [(4, "left")]
     old, new = docs.select("doc_id", "text"), spark.createDataFrame([(1, "new"), (9, "nine")], "doc_id int, text string")
     assert {tuple(r) for r in quality.merge_maps(old, new, "doc_id", "text").collect()} >= {(1, "new"), (9, "nine"), (2, "a b")}
-    d = quality.digest(docs, "doc_id").collect()[0]
-    assert d == quality.digest(docs.repartition(3).select("text", "source", "doc_id"), "doc_id").collect()[0]
-    assert d.digest != quality.digest(docs.withColumn("text", F.upper("text")), "doc_id").collect()[0].digest
+    d = quality.digest(docs).collect()[0]
+    assert d == quality.digest(docs.repartition(3).select("text", "source", "doc_id")).collect()[0]
+    assert d.digest != quality.digest(docs.withColumn("text", F.upper("text"))).collect()[0].digest
 
 
 def test_alignment(spark, tmp_path):
@@ -188,9 +188,9 @@ def test_sinks(spark, tmp_path):
     assert lines == ['{"a":"x","id":1,"z":"a"}', '{"a":null,"id":2,"z":"b"}']
     d = sinks.folder_digest(str(tmp_path / "o"))
     assert len(d) == 64 and d == sinks.folder_digest(str(tmp_path / "o"))
-    m = sinks.manifest({"t": (df, "id")})
+    m = sinks.manifest({"t": df})
     assert sinks.manifest_violations(m, m).count() == 0
-    assert [r.name for r in sinks.manifest_violations(m, sinks.manifest({"t": (df.limit(1), "id")})).collect()] == ["t"]
+    assert [r.name for r in sinks.manifest_violations(m, sinks.manifest({"t": df.limit(1)})).collect()] == ["t"]
     sinks.qrels(spark.createDataFrame([("q", "d")], "query_id string, doc_id string"), str(tmp_path / "q"))
     assert readers.qrels(spark, str(tmp_path / "q")).count() == 1
 
@@ -226,3 +226,13 @@ def test_streams(spark, tmp_path):
         q.stop()
         spark.createDataFrame([("z",), ("y",)], "text string").write.mode("append").parquet(texts)
     assert sorted(r.text for r in spark.read.parquet(store).collect()) == ["x", "y", "z"]
+
+
+def test_two_levels_give_the_same_places(spark):
+    from corpusloom.operators import graph
+
+    docs = spark.createDataFrame([(i * 7 % 101, "s" if i % 4 else None, "w " * (i % 5)) for i in range(101)], "doc_id bigint, source string, text string")
+    flat = lambda df: sorted(map(str, df.collect()))
+    assert flat(graph.adjacent(docs, bucket=3)) == flat(graph.adjacent(docs)) and graph.adjacent(docs).count() == docs.filter("source = 's'").count() - 1
+    assert flat(chunking.pack_tokens(docs, 10, "source", bucket=4)) == flat(chunking.pack_tokens(docs, 10, "source"))
+    assert flat(quality.positional_split(docs, "doc_id", 30, 6)) == flat(quality.positional_split(docs, "doc_id", 30))

@@ -62,7 +62,7 @@ def metric(spark, lists, rel):
 
 
 def test_metrics(spark):
-    m = metric(spark, {"q1": ["d1", "x", "y"], "q2": ["x", "d2", "y"]}, {"q1": ["d1"], "q2": ["d2"]})
+    m = metric(spark, {"q1": "d1 x y".split(), "q2": "x d2 y".split()}, {"q1": ["d1"], "q2": ["d2"]})
     assert (m.recall_1, m.recall_2, m.mrr_10) == (0.5, 1.0, 0.75) and m.ndcg_10 == round((1 + 1 / math.log2(3)) / 2, 6)
     m = metric(spark, {"q": "x x d1".split()}, {"q": ["d1"]})
     assert (m.recall_2, m.mrr_10) == (1.0, 0.5)
