@@ -6,18 +6,18 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.feature import BucketedRandomProjectionLSH
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions import vector
 from corpusloom.functions.text import content_id
 from corpusloom.operators.ranking import TopK, top_k
-from corpusloom.runtime import spread
+from corpusloom.runtime import cut, spread
 
 #: Cells of query vectors that are broadcast at once; more queries are searched in slices of that size.
 SLICE_CELLS = 20_000_000
+#: Queries whose scores are in memory at once, against 2048 vectors.
+BLOCK = 1024
 
 
 def search(corpus: DataFrame, queries: DataFrame, k: int = 10, metric: str = "ip", corpus_id: str = "vec_id", query_id: str = "vec_id", exclude_self: bool = False) -> DataFrame:
@@ -27,37 +27,57 @@ def search(corpus: DataFrame, queries: DataFrame, k: int = 10, metric: str = "ip
     its k best of every query only, so the shuffle is k rows a query and task."""
     if metric not in ("ip", "l2"):
         raise ValueError(metric)
+    return _search(corpus, queries, k, metric, corpus_id, query_id, exclude_self)
+
+
+def _search(corpus: DataFrame, queries: DataFrame, k: int, metric: str, corpus_id: str, query_id: str, exclude_self: bool, buckets: tuple[float, int] | None = None) -> DataFrame:
     slices = max(1, -(-(queries.agg(F.sum(F.size("embedding"))).first()[0] or 0) // SLICE_CELLS))
     out = None
     for s in range(slices):
         part = queries if slices == 1 else queries.filter(F.pmod(F.xxhash64(query_id), F.lit(slices)) == s)
-        found = _search_slice(corpus, part, k, metric, corpus_id, query_id, exclude_self)
+        found = _search_slice(corpus, part, k, metric, corpus_id, query_id, exclude_self, buckets)
         out = found if out is None else out.unionByName(found)
     order = [F.desc("score") if metric == "ip" else F.asc("score"), F.asc("doc_id")]
     return top_k(out, k, ["query_id"], order)
 
 
-def _search_slice(corpus: DataFrame, queries: DataFrame, k: int, metric: str, corpus_id: str, query_id: str, exclude_self: bool) -> DataFrame:
+def _search_slice(corpus: DataFrame, queries: DataFrame, k: int, metric: str, corpus_id: str, query_id: str, exclude_self: bool, buckets: tuple[float, int] | None) -> DataFrame:
+    """buckets: width and number of tables of random projections; only pairs that share a bucket in one of the tables are scored."""
     q = queries.select(F.col(query_id).cast("bigint").alias("i"), "embedding").filter("i is not null and embedding is not null").toArrow()
     ids = q.column("i").to_numpy()
     vectors = np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in q.column("embedding").chunks] or [np.zeros(0)]).astype(np.float64).reshape(len(ids), -1)
     shared = corpus.sparkSession.sparkContext.broadcast((ids, vectors))
 
+    def named(v: np.ndarray) -> np.ndarray:
+        """Number of each vector's bucket, by table and vector."""
+        lines = np.random.default_rng(7).normal(size=(buckets[1], v.shape[1]))
+        return np.floor(lines / np.linalg.norm(lines, axis=1, keepdims=True) @ v.T / buckets[0]).astype(np.int32)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         qi, qv = shared.value
-        best = TopK(len(qi), k, metric == "l2")
+        blocks = [(slice(a, a + BLOCK), TopK(len(qi[a : a + BLOCK]), k, metric == "l2")) for a in range(0, len(qi), BLOCK)]
+        qb = named(qv) if buckets and len(qi) else None
         for batch in batches:
             for a in range(0, batch.num_rows if len(qi) else 0, 2048):
                 part = batch.slice(a, 2048)
                 v = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(part.num_rows, -1)
-                s = qv @ v.T
-                if metric == "l2":
-                    s = np.sqrt(np.maximum((qv * qv).sum(1)[:, None] + (v * v).sum(1)[None, :] - 2 * s, 0))
-                s = np.round(s, 6)
-                if exclude_self:
-                    s[qi[:, None] == part.column(0).to_numpy()[None, :]] = np.inf if metric == "l2" else -np.inf
-                best.add(part.column(0), s)
-        yield best.batch(qi)
+                vb = named(v) if buckets else None
+                for at, best in blocks:
+                    s = qv[at] @ v.T
+                    if metric == "l2":
+                        s = np.sqrt(np.maximum((qv[at] * qv[at]).sum(1)[:, None] + (v * v).sum(1)[None, :] - 2 * s, 0))
+                    s = np.round(s, 6)
+                    worst = np.inf if metric == "l2" else -np.inf
+                    if exclude_self:
+                        s[qi[at][:, None] == part.column(0).to_numpy()[None, :]] = worst
+                    if buckets:
+                        apart = np.ones(s.shape, bool)
+                        for x, y in zip(qb[:, at], vb, strict=True):
+                            apart &= x[:, None] != y[None, :]
+                        s[apart] = worst
+                    best.add(part.column(0), s)
+        for at, best in blocks:
+            yield best.batch(qi[at])
 
     return spread(corpus.select(corpus_id, "embedding")).select(F.col(corpus_id).cast("bigint").alias("i"), "embedding").filter("i is not null and embedding is not null").mapInArrow(run, "query_id bigint, doc_id bigint, score double")
 
@@ -80,10 +100,12 @@ def upsert(store: DataFrame, texts: DataFrame, encode: Callable[[Column], Column
     return store.select("hash_id", "text", "embedding").unionByName(new.withColumn("embedding", encode(F.col("text"))))
 
 
-def lsh_search(corpus: DataFrame, queries: DataFrame, k: int = 10, bucket: float = 0.5, tables: int = 8, distance: float = 1.2, id_col: str = "vec_id") -> DataFrame:
-    """Approximate L2 search by random projections: only vectors that share a bucket in one of the tables are compared."""
-    vec = lambda df, name: df.select(F.col(id_col).alias(name), array_to_vector("embedding").alias("features"))
-    c, q = vec(corpus, "doc_id"), vec(queries, "query_id")
-    model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=bucket, numHashTables=tables, seed=7).fit(c)
-    near = model.approxSimilarityJoin(q, c, distance, "score").select(F.col("datasetA.query_id").alias("query_id"), F.col("datasetB.doc_id").alias("doc_id"), F.round("score", 6).alias("score"))
-    return top_k(near, k, ["query_id"], [F.asc("score"), F.asc("doc_id")])
+def lsh_search(corpus: DataFrame, queries: DataFrame, k: int = 10, bucket: float = 0.5, tables: int = 8, id_col: str = "vec_id") -> DataFrame:
+    """Approximate L2 search by random projections: only vectors that share a bucket in one of the tables are compared, at
+    any distance. Queries that meet fewer than k vectors in their buckets are searched exactly."""
+    near = cut(_search(corpus, queries, k, "l2", id_col, id_col, False, (bucket, tables)))
+    whole = near.filter(F.col("rank") == k).select(F.col("query_id").alias(id_col))
+    short = cut(queries.join(whole, id_col, "left_anti"))
+    if short.isEmpty():
+        return near
+    return near.join(whole.withColumnRenamed(id_col, "query_id"), "query_id", "left_semi").unionByName(search(corpus, short, k, "l2", id_col, id_col))

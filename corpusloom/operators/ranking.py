@@ -27,14 +27,17 @@ class TopK:
         key = self.sign * scores + 0.0
         if positive:
             key = np.where(scores > 0, key, np.inf)
+        on = np.isfinite(key)
         if key.shape[1] > self.k:  # whoever is over the k-th can't be in; ties with it stay
-            bar = np.partition(key, self.k - 1, axis=1)[:, self.k - 1 : self.k]
-            on = (key <= bar).any(0)
-            key, c = key[:, on], c[on]
-        key, c = np.hstack([self.key, key]), np.hstack([self.id, np.broadcast_to(c, (len(key), len(c)))])
-        order = np.argsort(c, axis=1, kind="stable")
-        order = np.take_along_axis(order, np.argsort(np.take_along_axis(key, order, 1), axis=1, kind="stable"), 1)[:, : self.k]
-        self.key, self.id = np.take_along_axis(key, order, 1), np.take_along_axis(c, order, 1)
+            on &= key <= np.partition(key, self.k - 1, axis=1)[:, self.k - 1 : self.k]
+        (r, j), (old, at) = np.nonzero(on), np.nonzero(np.isfinite(self.key))
+        row, key, c = np.concatenate([old, r]), np.concatenate([self.key[old, at], key[r, j]]), np.concatenate([self.id[old, at], c[j]])
+        order = np.lexsort((c, key, row))
+        row, key, c = row[order], key[order], c[order]
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        row, key, c, place = (x[place < self.k] for x in (row, key, c, place))
+        self.key, self.id = np.full((len(self.key), self.k), np.inf), np.zeros((len(self.key), self.k), np.int64)
+        self.key[row, place], self.id[row, place] = key, c
 
     def batch(self, queries: np.ndarray) -> pa.RecordBatch:
         r, c = np.nonzero(np.isfinite(self.key))

@@ -4,6 +4,7 @@ import math
 
 import numpy as np
 import pytest
+from checks import DATA
 from pyspark.sql import functions as F
 
 from corpusloom.operators import dense, evaluate, graph, lexical, ranking
@@ -114,6 +115,23 @@ def test_sliced_search_is_the_same(spark, monkeypatch):
     assert [(r[0], r[1]) for r in sorted(whole, key=lambda r: (r[0], r[3]))] == [(i, int(j)) for i in range(40) for j in best[i]]
 
 
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", "sf0.1"])
+def test_lsh_recall(spark, sf):
+    e = spark.read.parquet(f"{DATA}/{sf}/embeddings.parquet")
+    q = e.filter("vec_id < 50")
+    pairs = lambda df: {(r.query_id, r.doc_id) for r in df.collect()}
+    got, true = pairs(dense.lsh_search(e, q, 10)), pairs(dense.search(e, q, 10, "l2"))
+    assert len(got) == len(true) == 10 * q.count()
+    assert len(got & true) / len(true) >= 0.9
+
+
+def test_lsh_finds_k_however_far(spark):
+    """Vectors that share no bucket with any other are searched exactly."""
+    v = spark.createDataFrame([(i, [float(100 * i), float(i % 3)]) for i in range(30)], "vec_id bigint, embedding array<float>")
+    got = dense.lsh_search(v, v, 4).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, dense.search(v, v, 4, "l2").collect())) and len(got) == 120
+
+
 def test_edges(spark):
     b = spark.createDataFrame([("c1", "Aspirin", 2), ("c1", "pain", 1), ("c2", "Aspirin", 1), ("c2", "bleeding", 1)], "doc_id string, entity string, occ int")
     w = {(r.doc_id, r.entity): r.weight for r in graph.edges(b).collect()}
