@@ -181,7 +181,7 @@ def service_response(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def lsh_topk(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings")
-    return dense.lsh_search(e, e.filter(F.col("vec_id") < N_DENSE), K)
+    return dense.lsh_search(e, e, K)
 
 
 @query("""SELECT hash_id, text FROM (SELECT 'd-' || md5(text) AS hash_id, min(text) AS text FROM documents GROUP BY 1)""")

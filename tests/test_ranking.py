@@ -125,6 +125,13 @@ def test_lsh_recall(spark, sf):
     assert len(got & true) / len(true) >= 0.9
 
 
+def test_lsh_query_takes_every_vector(spark):
+    from corpusloom.plans import registry
+
+    d = f"{DATA}/sf0.001"
+    assert registry.QUERIES["lsh_topk"](spark, d).select("query_id").distinct().count() == spark.read.parquet(f"{d}/embeddings.parquet").count()
+
+
 def test_lsh_finds_k_however_far(spark):
     """Vectors that share no bucket with any other are searched exactly."""
     v = spark.createDataFrame([(i, [float(100 * i), float(i % 3)]) for i in range(30)], "vec_id bigint, embedding array<float>")
