@@ -154,3 +154,17 @@ def test_pagerank(spark):
     assert not [k for k in got if k[0] == 2]
     # a vertex without an edge gives its mass back to the reset vertices; the whole stays 1
     assert sum(v for k, v in got.items() if k[0] == 3) == pytest.approx(1, abs=1e-8) and got[(3, "lone")] > 0.25
+
+
+def test_graph_search_of_whole_tables(spark):
+    from corpusloom.plans import registry
+
+    d = f"{DATA}/sf0.001"
+    found = registry.QUERIES["graph_search"](spark, d).select("query_id").distinct().count()
+    assert found == spark.read.parquet(f"{d}/benchmark.parquet").count()
+
+
+def test_graph_search_bounds_entities_by_the_corpus(spark):
+    docs = spark.createDataFrame([(i, f"aspirin helps number{i}" if i < 60 else f"other number{i}") for i in range(400)], "doc_id bigint, text string")
+    q = spark.createDataFrame([(1, "aspirin")], "item_id bigint, text string")
+    assert graph.search(docs, q, run(spark, {"1": ["0"]}).selectExpr("cast(query_id as bigint) query_id", "cast(doc_id as bigint) doc_id", "score", "rank").filter("rank > 1")).count() == 10
