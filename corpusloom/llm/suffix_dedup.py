@@ -144,8 +144,10 @@ def repeats(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     small_batches(docs.sparkSession)
     texts = docs.filter("doc_id is not null and text is not null").select("doc_id", norm("text").alias("t"))
     words = F.length("t") - F.length(F.replace("t", F.lit(" "), F.lit(""))) + 1
-    # whole copies: the text's digest is all that is shuffled
-    named = cut(texts.filter(F.length("t") >= 2 * threshold - 1).select("doc_id", F.sha2("t", 256).alias("d"), words.alias("n")).groupBy("d").agg(F.min("doc_id").alias("first_id"), F.array_distinct(F.collect_list("doc_id")).alias("ids"), F.first("n").alias("n")).filter(f"size(ids) > 1 and n >= {threshold}"))
+    # whole copies: the text's digest is all that is shuffled; a doc_id with several texts stays in the sort with all of them
+    digests = texts.filter(F.length("t") >= 2 * threshold - 1).select("doc_id", F.sha2("t", 256).alias("d"), words.alias("n"))
+    single = digests.groupBy("doc_id").agg(F.min("d").alias("d"), F.max("d").alias("high"), F.first("n").alias("n")).filter("d = high")
+    named = cut(single.groupBy("d").agg(F.min("doc_id").alias("first_id"), F.collect_list("doc_id").alias("ids"), F.first("n").alias("n")).filter(f"size(ids) > 1 and n >= {threshold}"))
     copies = named.select(F.explode("ids").alias("doc_id"), "first_id", "n")
     aside = copies.filter("doc_id <> first_id").select("doc_id")
     left, source = None, texts

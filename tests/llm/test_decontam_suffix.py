@@ -134,6 +134,13 @@ def test_repeats_edge_cases(spark, messy, none, prose):
     assert {(50, 30, 90, 9), (51, 0, 60, 9)} <= got
 
 
+def test_repeats_keep_the_other_text_of_a_copy(spark, prose):
+    """Document 2 has a copy of document 1's text, and another text that shares a passage with document 3 only."""
+    rows = [(1, prose(1, 80)), (2, prose(1, 80)), (2, prose(20, 90) + " " + prose(21, 60)), (3, prose(21, 60)), (4, prose(1, 80))]
+    got = suffix_dedup.repeats(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert {(r.doc_id, r.start_word, r.end_word, r.first_id) for r in got.collect()} == {(1, 0, 80, 1), (2, 0, 80, 1), (2, 90, 150, 2), (3, 0, 60, 2), (4, 0, 80, 1)}
+
+
 def test_hashes_of_words_are_those_of_texts():
     import pyarrow as pa
 
