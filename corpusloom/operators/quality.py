@@ -17,6 +17,8 @@ from corpusloom.runtime import small_batches, spread
 
 #: Passages whose runs are broadcast at once.
 MAX_KEYS = 2_000_000
+#: Characters of short passages that are broadcast at once.
+MAX_CHARS = 4_000_000
 
 
 def first_of_each(df: DataFrame, key: Column, order: Sequence[Column]) -> DataFrame:
@@ -47,10 +49,11 @@ def exclude(rows: DataFrame, gold: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def containment(docs: DataFrame, passages: DataFrame, k: int = 8) -> DataFrame:
-    """(query_id, doc_id) of documents that contain a passage as it stands; passages of at most k words aren't looked for.
+    """(query_id, doc_id) of documents that contain a passage as it stands.
 
     A scan names every run of k - 2 words of a document and keeps pairs whose run is that behind a passage's first word
-    (its ends may be parts of words); only these pairs are compared as texts. The passages' runs are broadcast in slices of a bounded size."""
+    (its ends may be parts of words); only these pairs are compared as texts. The passages' runs are broadcast in slices of a bounded size.
+    Passages of at most k words have no such run; they are broadcast as texts, in slices too, and looked for in every document."""
     small_batches(docs.sparkSession)
     keys = passages.select(F.col("item_id").cast("bigint").alias("i"), norm("text").alias("t")).filter(F.size(F.split("t", " ")) > k)
     slices = max(1, -(-keys.count() // MAX_KEYS))
@@ -82,7 +85,14 @@ def containment(docs: DataFrame, passages: DataFrame, k: int = 8) -> DataFrame:
         found = spread(docs.select("doc_id", "text")).select(F.col("doc_id").cast("bigint").alias("doc_id"), norm("text").alias("t")).filter("doc_id is not null").mapInArrow(run, "query_id bigint, doc_id bigint")
         out = found if out is None else out.unionByName(found)
     texts = passages.select(F.col("item_id").alias("query_id"), F.col("text").alias("p_text"))
-    return out.distinct().join(docs.select("doc_id", "text"), "doc_id").join(texts, "query_id").filter(F.contains("text", "p_text")).select("query_id", "doc_id").distinct()
+    pairs = out.distinct().join(docs.select("doc_id", "text"), "doc_id").join(texts, "query_id").filter(F.contains("text", "p_text")).select("query_id", "doc_id")
+    short = texts.filter("query_id is not null and p_text is not null").filter(F.size(F.split(norm("p_text"), " ")) <= k)
+    n, chars = short.agg(F.count("*"), F.sum(F.length("p_text"))).first()
+    slices = -(-max(chars or 0, n) // MAX_CHARS)
+    for i in range(slices):
+        part = short if slices == 1 else short.filter(F.pmod(F.xxhash64("query_id"), F.lit(slices)) == i)
+        pairs = pairs.unionByName(docs.filter("doc_id is not null").join(F.broadcast(part), F.contains("text", "p_text")).select("query_id", "doc_id"))
+    return pairs.distinct()
 
 
 def hash_order(key: Column, seed: int) -> Column:

@@ -236,3 +236,13 @@ def test_two_levels_give_the_same_places(spark):
     assert flat(graph.adjacent(docs, bucket=3)) == flat(graph.adjacent(docs)) and graph.adjacent(docs).count() == docs.filter("source = 's'").count() - 1
     assert flat(chunking.pack_tokens(docs, 10, "source", bucket=4)) == flat(chunking.pack_tokens(docs, 10, "source"))
     assert flat(quality.positional_split(docs, "doc_id", 30, 6)) == flat(quality.positional_split(docs, "doc_id", 30))
+
+
+def test_containment_of_short_passages(spark, monkeypatch):
+    docs = [(1, "One two, three."), (2, "one two three four five six seven eight nine ten"), (3, None), (None, "One two")]
+    passages = [(1, "One two"), (2, "two three four five six seven eight nine ten"), (3, "thre"), (4, "none"), (5, "?"), (6, None), (7, "one two three four five six seven eight")]
+    docs, passages = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(passages, "item_id bigint, text string")
+    want = {(1, 1), (2, 2), (3, 1), (3, 2), (7, 2)}
+    assert {tuple(r) for r in quality.containment(docs, passages).collect()} == want
+    monkeypatch.setattr(quality, "MAX_CHARS", 10)
+    assert sorted(map(tuple, quality.containment(docs, passages).collect())) == sorted(want)
