@@ -1,16 +1,16 @@
 """Passages of at least THRESHOLD words that repeat across documents, by distributed prefix doubling.
 
-A rank names the words that follow a position: equal ranks, equal words. Ranks of width 1 are words; two ranks at an
-offset, rank(i) and rank(i + offset), name a longer stretch (1, 2, 4, 8, then 13, 25 and 50 words; the last steps
-overlap). Spark sorts the rank pairs of positions at the widths in LEVELS and reranks: a position whose pair is unique
-among documents is dropped for good, since no longer stretch that covers it can repeat either; those left go on to the next
-offset, until all are unique or the width is the threshold. Ranks are named by a 64-bit hash of their pair instead of a
-number in sorted order, which says the same about equality and saves renumbering all positions of the corpus.
-
-Below the threshold only some positions need be sorted: of each window of THRESHOLD - width + 1 positions, those with
-the least rank (winnowing). A repeated passage of THRESHOLD words has the same ones in all its copies, so
-none is missed, and a sampled position that is unique rules out all passages that depend on it. Whole copies of a
-document are found by their text and stand aside, with one of them in the sort.
+A rank names the words that follow a position: equal ranks, equal words. Up to START words ranks are made within a
+task, by doubling the hashes of words. From there on every position of the corpus is in the sort: Spark sorts the positions by
+rank, a position whose rank no other document has is dropped for good (no longer stretch that begins there can
+repeat), and the others get new ranks from the sort, the numbers of their runs. Then the pairs rank(i), rank(i + offset)
+are sorted in the same way, at growing offsets (32, then 50 words; for other thresholds the widths double), until
+all are unique or the width is the threshold.
+
+The sort compares numbers given by the sort before, so a false match needs two equal 64-bit hashes of START words at one position together with
+a true repeat at the offset (or two such pairs): about 10^-6 of a match at 10^13 positions. Runs of equal ranks are read
+as a stream that holds one document's part of a run, so nothing depends on how often a passage repeats. Whole copies of a document
+are found by their text and stand aside, with one of them in the sort.
 """
 
 from __future__ import annotations
@@ -19,102 +19,95 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import cut, hashed_words, norm, run_bounds, sorted_runs
+from corpusloom.llm.common import cut, hashed_words, norm, sorted_runs
 from corpusloom.functions.wordhash import run_names
 from corpusloom.runtime import small_batches
 
 THRESHOLD = 50
+#: Ids that are broadcast at most (of whole copies, of documents with several texts); more are joined by shuffle.
+BROADCAST_IDS = 4_000_000
+LOW = (1 << 32) - 1
 
 
-def levels(threshold: int) -> list[int]:
-    """Widths at which positions are sorted: a quarter and a half of the threshold, rounded up, and the threshold."""
-    return sorted({w for w in (-(-threshold // 4), -(-threshold // 2), threshold) if w >= 1})
+def widths(threshold: int) -> list[int]:
+    """Widths at which positions are sorted: from the greatest power of two within two thirds of the threshold, doubled up to it."""
+    out = [1]
+    while out[0] * 3 <= threshold:
+        out[0] *= 2
+    while out[-1] < threshold:
+        out.append(min(2 * out[-1], threshold))
+    return out
 
 
-def _slide(x: np.ndarray, window: int, reduce) -> np.ndarray:  # noqa: ANN001
-    """Reduction over each window, from its first position."""
-    y, w = x, 1
-    while w < window:
-        step = min(w, window - w)
-        y = reduce(y[: len(y) - step], y[step:]) if len(y) > step else y[:0]
-        w += step
-    return y
+def _emit(width: int, threshold: int):  # noqa: ANN202
+    """(doc_id, rank, pos) of all positions that have `width` words before the text's end. Texts of a document that has several
+    differ in the upper half of pos. A text with fewer words than the threshold can't hold a passage."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, tag = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+            for a, _, h, at in hashed_words(batch.column(1)):
+                r, n = run_names(h, width), np.diff(at)
+                n = np.where(n >= threshold, n - width + 1, 0)
+                d = np.repeat(np.arange(len(n)), n)
+                pos = np.arange(len(d)) - np.repeat(np.cumsum(n) - n, n)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[d + a]), pa.array(r[at[d] + pos].view(np.int64)), pa.array(tag[d + a] << 32 | pos)], ["doc_id", "rank", "pos"])
 
-def sampled(r: np.ndarray, begins: np.ndarray, sizes: np.ndarray, window: int) -> np.ndarray:
-    """Positions whose rank is the least of some window of positions that lies within one document. r: ranks of a run
-    of documents; begins, sizes: of each document, its first position and number of positions that have a rank."""
-    if window == 1:
-        return np.concatenate([np.arange(b, b + n) for b, n in zip(begins, sizes, strict=True)]) if len(begins) else np.zeros(0, np.int64)
-    inside = np.zeros(len(r) + 1, np.int64)
-    ok = sizes >= window
-    np.add.at(inside, begins[ok], 1)
-    np.add.at(inside, begins[ok] + sizes[ok] - window + 1, -1)
-    whole = np.cumsum(inside)[: len(r)] > 0
-    low = _slide(r, window, np.minimum)
-    low = np.where(whole[: len(low)], low, np.uint64(0))
-    padded = np.concatenate([np.zeros(window - 1, np.uint64), low, np.zeros(len(r) - len(low), np.uint64)])
-    best = _slide(padded, window, np.maximum)
-    return np.flatnonzero((r == best[: len(r)]) & (best[: len(r)] > 0))
+    return run
 
 
-def _emit(width: int, threshold: int):  # noqa: ANN202
-    """(doc_id, rank, pos) of sampled positions; after the first level, only of those that can be part of a passage
-    that covers a position which is left of the level before (the third column)."""
-    window, before = threshold - width + 1, None
+def _rerank(keys: int, last: bool):  # noqa: ANN202
+    """Positions, sorted by their keys (columns between doc_id and pos) and by document, whose keys several documents have: with the number of
+    their run, which no other run in the sort has, or at last with the least document of the run."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        carry, number = None, TaskContext.get().partitionId() << 36
         for batch in batches:
-            left = batch.column(2) if batch.num_columns > 2 else None
-            ids = batch.column(0).to_numpy()
-            for a, z, h, at in hashed_words(batch.column(1)):
-                r = run_names(h, width)
-                n = np.maximum(np.diff(at) - width + 1, 0)
-                # a document with fewer words than the threshold can't hold a passage
-                n = np.where(np.diff(at) >= threshold, n, 0)
-                p = sampled(r, at[:-1], n, window)
-                if left is not None:
-                    part = left.slice(a, z - a)
-                    sizes = np.diff(part.offsets.to_numpy())
-                    anchor, begin = part.flatten().to_numpy() + np.repeat(at[:-1], sizes), np.repeat(at[:-1], sizes)
-                    own = anchor < np.repeat(at[1:], sizes)  # another text of the same doc_id may be shorter
-                    anchor, begin = anchor[own], begin[own]
-                    # passages that cover an anchor begin within the window of its level before it
-                    start = np.zeros(len(h) + 1, np.int64)
-                    lo = np.maximum(anchor - (threshold - previous(width, threshold)), begin)
-                    np.add.at(start, lo, 1)
-                    np.add.at(start, anchor + 1, -1)
-                    begins = np.cumsum(start)[:-1] > 0
-                    reach = np.zeros(len(h) + 1, np.int64)
-                    f = np.flatnonzero(begins)
-                    np.add.at(reach, f, 1)
-                    np.add.at(reach, np.minimum(f + window, len(h)), -1)
-                    p = p[(np.cumsum(reach)[:-1] > 0)[p]]
-                d = np.searchsorted(at, p, "right") - 1
-                yield pa.RecordBatch.from_arrays([pa.array(r[p].view(np.int64)), pa.array(ids[d + a]), pa.array((p - at[d]).astype(np.int32))], ["rank", "doc_id", "pos"])
+            cols = [batch.column(i).to_numpy() for i in range(keys + 2)]
+            if carry is not None:
+                cols = [np.concatenate([x, y]) for x, y in zip(carry, cols, strict=True)]
+            if not len(cols[0]):
+                continue
+            doc, pos = cols[0], cols[-1]
+            new = np.ones(len(doc), bool)
+            new[1:] = False
+            for k in cols[1:-1]:
+                new[1:] |= k[1:] != k[:-1]
+            at = np.flatnonzero(new)
+            end = np.concatenate([at[1:], [len(doc)]])
+            many = doc[at] != doc[end - 1]
+            out = np.flatnonzero(np.repeat(many, end - at) & (pos >= 0))
+            which = (np.cumsum(new) - 1)[out]
+            if len(out):
+                own = [pa.array(pos[out] & LOW), pa.array(doc[at][which])] if last else [pa.array(pos[out]), pa.array(which + number)]
+                yield pa.RecordBatch.from_arrays([pa.array(doc[out]), *own], ["doc_id", "pos", "first_id" if last else "rank"])
+            number += len(at) - 1
+            # of the last run, which may go on, the first row is enough (marked, as it has been returned) once there are two documents
+            carry = [c[at[-1] : at[-1] + 1] for c in cols] if many[-1] else [c[at[-1] :] for c in cols]
+            if many[-1]:
+                carry[-1] = np.full(1, -1)
 
     return run
 
 
-def previous(width: int, threshold: int) -> int:
-    """The level before a width."""
-    all_ = levels(threshold)
-    return all_[all_.index(width) - 1]
+def _pairs(offset: int):  # noqa: ANN202
+    """(doc_id, a, b, pos): ranks of positions, sorted by document and position, and those at the offset; a position without the latter goes."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sorted_runs(batches, "doc_id"):
+            doc, pos, rank = (batch.column(c).to_numpy() for c in ("doc_id", "pos", "rank"))
+            text = np.cumsum(np.concatenate([[0], (doc[1:] != doc[:-1]) | (pos[1:] >> 32 != pos[:-1] >> 32)]))
+            key = text << 32 | pos & LOW
+            to = np.searchsorted(key, key + offset)
+            i = np.flatnonzero(to < len(key))
+            i = i[key[to[i]] == key[i] + offset]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (doc[i], rank[i], rank[to[i]], pos[i])], ["doc_id", "a", "b", "pos"])
 
-def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Positions whose rank occurs in several documents, with the least of these documents."""
-    for batch in sorted_runs(batches, "rank"):
-        rank, doc = batch.column("rank").to_numpy(), batch.column("doc_id").to_numpy()
-        at = run_bounds(rank)
-        low, high = np.minimum.reduceat(doc, at[:-1]), np.maximum.reduceat(doc, at[:-1])
-        n = np.diff(at)
-        keep = np.repeat(low != high, n)
-        if keep.any():
-            yield pa.RecordBatch.from_arrays([pa.array(doc[keep]), pa.array(batch.column("pos").to_numpy()[keep]), pa.array(np.repeat(low, n)[keep])], ["doc_id", "pos", "first_id"])
+    return run
 
 
 def _spans(threshold: int):  # noqa: ANN202
@@ -122,7 +115,7 @@ def _spans(threshold: int):  # noqa: ANN202
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sorted_runs(batches, "doc_id"):
-            doc, pos, first = (batch.column(c).to_numpy().astype(np.int64) for c in ("doc_id", "pos", "first_id"))
+            doc, pos, first = (batch.column(c).to_numpy() for c in ("doc_id", "pos", "first_id"))
             new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (pos[1:] > pos[:-1] + threshold)])
             at = np.flatnonzero(new)
             end = np.concatenate([at[1:], [len(doc)]]) - 1
@@ -138,31 +131,44 @@ def repeats(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     Deleting a stretch where first_id < doc_id leaves one copy of each passage.
 
     Words are compared without case and punctuation; passages don't cross the end of a document; repeats within one
-    document don't count. Null and empty texts and texts under `threshold` words have no row; rows without a doc_id are
+    document don't count. Long texts are read whole. Null and empty texts and texts under `threshold` words have no row; rows without a doc_id are
     left out; rows that repeat a doc_id with the same text count once, and with another text their passages are
     those of one document; further columns are ignored; an empty table has no repeats."""
     small_batches(docs.sparkSession)
-    texts = docs.filter("doc_id is not null and text is not null").select("doc_id", norm("text").alias("t"))
-    words = F.length("t") - F.length(F.replace("t", F.lit(" "), F.lit(""))) + 1
+    texts = docs.filter("doc_id is not null and text is not null").select("doc_id", norm("text").alias("t")).filter(F.length("t") >= 2 * threshold - 1)
+    n_words = F.length("t") - F.length(F.replace("t", F.lit(" "), F.lit(""))) + 1
     # whole copies: the text's digest is all that is shuffled; a doc_id with several texts stays in the sort with all of them
-    digests = texts.filter(F.length("t") >= 2 * threshold - 1).select("doc_id", F.sha2("t", 256).alias("d"), words.alias("n"))
-    single = digests.groupBy("doc_id").agg(F.min("d").alias("d"), F.max("d").alias("high"), F.first("n").alias("n")).filter("d = high")
-    named = cut(single.groupBy("d").agg(F.min("doc_id").alias("first_id"), F.collect_list("doc_id").alias("ids"), F.first("n").alias("n")).filter(f"size(ids) > 1 and n >= {threshold}"))
-    copies = named.select(F.explode("ids").alias("doc_id"), "first_id", "n")
-    aside = copies.filter("doc_id <> first_id").select("doc_id")
-    left, source = None, texts
-    for width in levels(threshold):
-        given = source if left is None else source.join(left, "doc_id")
-        found = given.mapInArrow(_emit(width, threshold), "rank bigint, doc_id bigint, pos int")
-        found = found.repartition(F.col("rank")).sortWithinPartitions("rank").mapInArrow(_repeated, "doc_id bigint, pos int, first_id bigint")
-        if width < threshold:
-            left = found.groupBy("doc_id").agg(F.sort_array(F.collect_list("pos")).alias("left")).join(aside, "doc_id", "left_anti")
+    digests = texts.select("doc_id", F.unhex(F.sha2("t", 256)).alias("d"), n_words.alias("n")).distinct()
+    per = cut(digests.groupBy("doc_id").agg(F.first("d").alias("d"), F.first("n").alias("n"), F.count("*").alias("texts")))
+    single = per.filter(F.col("n") >= threshold).filter("texts = 1")
+    named = single.groupBy("d").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies")).filter("copies > 1")
+    copies = cut(single.join(named, "d").select("doc_id", "first_id", F.col("n").cast("bigint").alias("n")))
+    aside, several = copies.filter("doc_id <> first_id").select("doc_id"), per.filter("texts > 1").select("doc_id", F.lit(True).alias("several"))
+    n_aside, n_several = aside.count(), several.count()
+    tag = F.lit(0)
+    if n_several:
+        texts = texts.join(F.broadcast(several) if n_several <= BROADCAST_IDS else several, "doc_id", "left")
+        tag = F.when(F.col("several"), F.pmod(F.xxhash64("t"), F.lit(1 << 30)) + 1).otherwise(0)
+    if n_aside <= BROADCAST_IDS:
+        texts = texts.join(F.broadcast(aside), "doc_id", "left_anti")
+    width, *wider = widths(threshold)
+    found = texts.select("doc_id", "t", tag.cast("bigint").alias("tag")).mapInArrow(_emit(width, threshold), "doc_id bigint, rank bigint, pos bigint")
+    found = found.repartition(F.col("rank")).sortWithinPartitions("rank", "doc_id")
+    keys = 1
+    for w in wider:
+        found = found.mapInArrow(_rerank(keys, False), "doc_id bigint, pos bigint, rank bigint")
+        if keys == 1 and n_aside > BROADCAST_IDS:
+            found = found.join(aside, "doc_id", "left_anti")
+        pairs = found.repartition(F.col("doc_id")).sortWithinPartitions("doc_id", "pos").mapInArrow(_pairs(w - width), "doc_id bigint, a bigint, b bigint, pos bigint")
+        found = pairs.repartition(F.col("a"), F.col("b")).sortWithinPartitions("a", "b", "doc_id")
+        width, keys = w, 2
+    found = found.mapInArrow(_rerank(keys, True), "doc_id bigint, pos bigint, first_id bigint")
     spans = found.repartition(F.col("doc_id")).sortWithinPartitions("doc_id", "pos").mapInArrow(_spans(threshold), "doc_id bigint, start_word bigint, end_word bigint, first_id bigint")
-    spans = cut(spans)
+    spans = cut(spans if wider or n_aside <= BROADCAST_IDS else spans.join(aside, "doc_id", "left_anti"))
     # a first copy may also share passages with other documents: its stretches are within the whole, for all copies
     earlier = spans.groupBy(F.col("doc_id").alias("first_id")).agg(F.min("first_id").alias("earlier_id"))
-    whole = copies.join(earlier, "first_id", "left").select("doc_id", F.lit(0).cast("bigint").alias("start_word"), F.col("n").cast("bigint").alias("end_word"), F.coalesce(F.least("first_id", "earlier_id"), "first_id").alias("first_id"))
-    return whole.unionByName(spans.join(copies.select("doc_id").distinct(), "doc_id", "left_anti"))
+    whole = copies.join(earlier, "first_id", "left").select("doc_id", F.lit(0).cast("bigint").alias("start_word"), F.col("n").alias("end_word"), F.coalesce(F.least("first_id", "earlier_id"), "first_id").alias("first_id"))
+    return whole.unionByName(spans.join(copies.select("doc_id"), "doc_id", "left_anti"))
 
 
 def oracle(threshold: int = THRESHOLD) -> str:

@@ -150,3 +150,34 @@ def test_hashes_of_words_are_those_of_texts():
         for i in range(a, z):
             out[i] = h[at[i - a] : at[i - a + 1]].tolist()
     assert [out[i] for i in range(5)] == [hash_list([w]).tolist() if len(t.split()) == 1 else [int(hash_list([w])[0]) for w in t.split()] for t in texts for w in [t]]
+
+
+def test_repeats_do_not_depend_on_how_ids_are_joined(spark, prose, monkeypatch):
+    rows = [(1, prose(1, 80)), (2, prose(1, 80)), (2, prose(20, 90) + " " + prose(21, 60)), (3, prose(21, 60)), (4, prose(1, 80)), (5, prose(30, 20) + " " + prose(1, 80))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    want = {tuple(r) for r in suffix_dedup.repeats(docs).collect()}
+    monkeypatch.setattr(suffix_dedup, "BROADCAST_IDS", 0)
+    assert {tuple(r) for r in suffix_dedup.repeats(docs).collect()} == want and len(want) == 6
+
+
+def test_runs_of_equal_ranks_are_streams(spark):
+    """One rank in very many documents, in batches of any size: the same positions come back with one number a run."""
+    rng = np.random.default_rng(5)
+    rank, doc = np.sort(np.concatenate([np.full(5000, 7), rng.integers(0, 40, 300)])), None
+    doc = rng.integers(0, 900, len(rank))
+    order = np.lexsort((doc, rank))
+    rank, doc, pos = rank[order], doc[order], np.arange(len(rank))
+    want = {int(p) for k in np.unique(rank) if len(set(doc[rank == k])) > 1 for p in pos[rank == k]}
+    for size in (1, 3, 64, 10**6):
+        batches = spark.createDataFrame([(0,)]).select("_1")  # a task context is there within a task only
+        cuts = [(doc[i : i + size], rank[i : i + size], pos[i : i + size]) for i in range(0, len(rank), size)]
+
+        def run(it, cuts=cuts):
+            import pyarrow as pa
+
+            list(it)
+            yield from suffix_dedup._rerank(1, False)(pa.RecordBatch.from_arrays([pa.array(x) for x in c], ["doc_id", "rank", "pos"]) for c in cuts)
+
+        got = batches.mapInArrow(run, "doc_id bigint, pos bigint, rank bigint").collect()
+        assert {r.pos for r in got} == want and len(got) == len(want)
+        assert len({(r.rank, int(rank[r.pos])) for r in got}) == len({r.rank for r in got})
