@@ -169,7 +169,7 @@ def test_runs_of_equal_ranks_are_streams(spark):
     rank, doc, pos = rank[order], doc[order], np.arange(len(rank))
     want = {int(p) for k in np.unique(rank) if len(set(doc[rank == k])) > 1 for p in pos[rank == k]}
     for size in (1, 3, 64, 10**6):
-        batches = spark.createDataFrame([(0,)]).select("_1")  # a task context is there within a task only
+        batches = spark.createDataFrame([(0,)], "i int").coalesce(1)  # a task context is there within a task only
         cuts = [(doc[i : i + size], rank[i : i + size], pos[i : i + size]) for i in range(0, len(rank), size)]
 
         def run(it, cuts=cuts):
