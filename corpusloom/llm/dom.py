@@ -13,6 +13,7 @@ are not among the features, so pages without them are judged by their structure.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -27,16 +28,56 @@ from corpusloom.runtime import small_batches
 MAX_TRAIN = 400
 PENALTY = 1.0
 TOKENS = 16
-PARTS = re.compile(r"<!--.*?-->|<(script|style)\b[^>]*>.*?</\1\s*>|<!\w[^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9-]*)((?:[^>\"']+|\"[^\"]*\"|'[^']*')*)>", re.S | re.I)
+OPEN = re.compile(r"<(?:(!--)|!\w|(/?)([a-zA-Z][a-zA-Z0-9-]*))")
+#: What follows a tag's name, with quoted values; possessive, so a tag that never closes is read once.
+REST = re.compile(r"((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
+PLAIN = re.compile(r"([^<>]*+)>")
+RAW = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style")}
 ATTR = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 VOID = frozenset(["area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"])
 GROUPS = {t: i for i, g in enumerate((["p"], ["a"], ["li", "dt", "dd"], ["ul", "ol", "dl"], ["div", "section"], ["h1", "h2", "h3", "h4", "h5", "h6"], ["b", "i", "em", "strong", "span", "u"], ["table", "tr", "td", "th", "tbody"], ["blockquote", "pre", "code"], ["form", "button", "select", "label"])) for t in g}
 INLINE = frozenset(["a", "b", "i", "em", "strong", "span", "u", "code", "small", "sub", "sup", "label", "abbr", "cite", "q"])
 CLOSES = {"p": frozenset(["p", "div", "ul", "ol", "table", "section", "article", "main", "nav", "footer", "header", "aside", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "form", "hr"]), "li": frozenset(["li"]), "td": frozenset(["td", "th", "tr"]), "tr": frozenset(["tr"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "option": frozenset(["option"])}
+CLOSED_BY = frozenset().union(*CLOSES.values())
 LABELS = frozenset(["article", "main"])
 N_FEATURES = 18 + 11 + TOKENS
 
 
+def parts(html: str) -> Iterator[tuple[int, int, bool, str, str]]:
+    """Begin, end, whether it closes, name and attributes of tags; comments, declarations, scripts and styles have no name.
+
+    Each mark that ends a comment, script or quoted value is looked for until it isn't found once, and a tag that doesn't end makes
+    the rest of the page be read without quoted values, so the time is linear in the page, however it is broken."""
+    at, rest, open_ended = 0, REST, set()
+    while m := OPEN.search(html, at):
+        begin, at = m.span()
+        name = (m[3] or "").lower()
+        if not name:
+            mark = "-->" if m[1] else ">"
+            end = -1 if mark in open_ended else html.find(mark, at)
+            if end < 0:
+                open_ended.add(mark)
+                continue
+            at = end + len(mark)
+            yield begin, at, False, "", ""
+            continue
+        tail = rest.match(html, at)
+        if tail is None and rest is REST:
+            rest = PLAIN
+            tail = rest.match(html, at)
+        if tail is None:
+            continue
+        at = tail.end()
+        if name in RAW and not m[2] and name not in open_ended:
+            if end := RAW[name].search(html, at):
+                at = end.end()
+                yield begin, at, False, "", ""
+                continue
+            open_ended.add(name)
+        yield begin, at, bool(m[2]), name, tail[1]
+    return
+
+
 class Page:
     """Nodes in document order: parent, depth, end of subtree, tag, token buckets; and text segments (node, text)."""
 
@@ -51,36 +92,41 @@ class Page:
                 lead, tail = html[a].isspace(), html[z - 1].isspace()
                 segments.append((stack[-1], " " * lead + t + " " * tail))
 
-        for m in PARTS.finditer(html):
-            text(at, m.start())
-            at = m.end()
-            name = m[3]
+        opened: Counter = Counter()  # names on the stack
+        wall = [0]  # of each place on the stack, the nearest at or below it that isn't inline
+
+        def close(k: int) -> None:
+            for i in stack[k:]:
+                end[i] = len(parent)
+                opened[tag[i]] -= 1
+            del stack[k:], wall[k:]
+
+        for begin, stop, closing, name, attributes in parts(html):
+            text(at, begin)
+            at = stop
             if not name:
                 continue
-            name = name.lower()
-            if m[2]:
-                if name in VOID:
+            if closing:
+                if name in VOID or not opened[name]:
                     continue
-                for k in range(len(stack) - 1, 0, -1):
-                    if tag[stack[k]] == name:
-                        for i in stack[k:]:
-                            end[i] = len(parent)
-                        del stack[k:]
-                        break
+                k = len(stack) - 1
+                while tag[stack[k]] != name:
+                    k -= 1
+                close(k)
                 continue
             # an open paragraph or item ends where one can't go on; inline elements that were left open end with it
-            for k in range(len(stack) - 1, 0, -1):
+            k = wall[-1] if name in CLOSED_BY else 0
+            while k > 0:
                 t = tag[stack[k]]
                 if name in CLOSES.get(t, ()):
-                    for i in stack[k:]:
-                        end[i] = len(parent)
-                    del stack[k:]
+                    close(k)
                     break
-                if t not in INLINE and t not in CLOSES:
+                if t not in CLOSES:
                     break
+                k = wall[k - 1]
             bucket = 0
-            if m[4]:
-                for a, b, c in ATTR.findall(m[4]):
+            if attributes:
+                for a, b, c in ATTR.findall(attributes):
                     for w in re.findall(r"[a-z]+", (a or b or c).lower()):
                         bucket |= 1 << (sum(w.encode()) * 31 + len(w)) % TOKENS
             parent.append(stack[-1])
@@ -88,12 +134,14 @@ class Page:
             end.append(0)
             tag.append(name)
             tokens.append(bucket)
-            if name in VOID or m[4].endswith("/"):
+            if name in VOID or attributes.endswith("/"):
                 end[-1] = len(parent)
                 if name in ("br", "hr"):
                     segments.append((stack[-1], "\n"))
             else:
+                wall.append(wall[-1] if name in INLINE else len(stack))
                 stack.append(len(parent) - 1)
+                opened[name] += 1
         text(at, len(html))
         for i in stack:
             end[i] = len(parent)
@@ -231,13 +279,14 @@ def decode(parent: np.ndarray, depth: np.ndarray, logit: np.ndarray, penalty: fl
 
 def page_text(page: Page, kept: np.ndarray) -> str:
     """Text of kept nodes; blocks are on lines of their own."""
-    out, last = [], None
+    out, last, blocks = [], None, list(range(len(page.tag)))
+    for i, t in enumerate(page.tag):
+        if t in INLINE:
+            blocks[i] = blocks[page.parent[i]]
     for i, t in page.segments:
         if not kept[i]:
             continue
-        block = i
-        while block > 0 and page.tag[block] in INLINE:
-            block = page.parent[block]
+        block = blocks[i]
         if last is not None and block != last:
             out.append("\n")
         out.append(t)
@@ -260,19 +309,19 @@ def train(pages: list[str]) -> Trees | None:
 
 
 def model_for(pages: DataFrame, limit: int = MAX_TRAIN) -> Trees | None:
-    """Trees trained on at most `limit` pages, chosen by a hash of their ids."""
-    ids = [r[0] for r in pages.filter("page_id is not null").select("page_id").orderBy(F.xxhash64("page_id", F.lit(5)), "page_id").limit(limit).collect()]
-    rows = pages.filter(F.col("page_id").isin(ids) & F.col("html").isNotNull()).select("page_id", "html").collect() if ids else []  # at most `limit` ids
-    return train([r["html"] for r in sorted(rows, key=lambda r: (r["page_id"], r["html"]))])
+    """Trees trained on at most `limit` pages, chosen by a hash of their ids; of rows that repeat an id, the least html."""
+    ids = [r[0] for r in pages.filter("page_id is not null and html is not null").select("page_id").distinct().orderBy(F.xxhash64("page_id", F.lit(5)), "page_id").limit(limit).collect()]
+    rows = pages.filter(F.col("page_id").isin(ids) & F.col("html").isNotNull()).groupBy("page_id").agg(F.min("html").alias("html")).collect() if ids else []  # a row per id
+    return train([r["html"] for r in sorted(rows, key=lambda r: r["page_id"])])
 
 
 def extract(pages: DataFrame, model: Trees | None = None) -> DataFrame:
     """Rows (page_id, text, n_nodes, n_kept) for every page.
 
     A null html gives a null text and no nodes; an empty one an empty text. Broken markup is read as browsers would in the
-    common cases (open paragraphs and items end, stray end tags are dropped, text after the last tag counts). Repeated
+    common cases (open paragraphs and items end, stray end tags are dropped, text after the last tag counts); a tag that a page breaks off in is text. Pages are read whole, in time linear in their length. Repeated
     rows are each extracted; a null page_id is kept; further columns are ignored; an empty table stays empty. If no page
-    of the sample has labels, all text of a page is kept."""
+    of the sample has labels, all text of a page is kept; a node whose sums tie is dropped, and decided as a whole rather than below."""
     m = model or model_for(pages)
     shared = pages.sparkSession.sparkContext.broadcast(vars(m) if m else None)
 

@@ -1,9 +1,12 @@
 from __future__ import annotations
 
 import itertools
+import math
 import random
+import time
 
 import numpy as np
+import pytest
 from checks import DATA
 
 from corpusloom.llm import dom, urlrules
@@ -140,3 +143,85 @@ def test_url_edge_cases(spark):
     empty = urlrules.mine(pages, labels.limit(0))
     assert empty.count() == 0 and urlrules.match(pages, empty).filter("blocked").count() == 0
     assert urlrules.filter_urls(pages, labels.limit(3)).filter("blocked").count() == 0
+
+
+@pytest.mark.parametrize("html", [
+    "<p>hello</p><a " + "n" * 1_000_000,
+    "<a " * 300_000 + '"',
+    '<a "' * 250_000,
+    "<!--" * 250_000,
+    "<script>" * 100_000 + "</script",
+    "<style " * 100_000,
+    "<" * 1_000_000,
+    "<b>" * 60_000 + "</p>" * 60_000,
+    "<p><div>" + "<b>x" * 30_000 + "<p></p>" * 30_000,
+])
+def test_broken_pages_take_linear_time(html):
+    began = time.time()
+    page = dom.Page(html)
+    page.features()
+    dom.page_text(page, dom.decode(page.parent, page.depth, np.ones(len(page.tag))))
+    assert time.time() - began < 15
+
+
+def test_page_cut_within_a_tag_keeps_its_text():
+    p = dom.Page("<p>hello</p><div>more <b>text</b> <a href='x")
+    assert dom.page_text(p, np.ones(len(p.tag), bool)).replace("\n", " ").startswith("hello more text")
+    p = dom.Page('<p>one</p><a href="x>two</a><p>three</p>')
+    assert "three" in dom.page_text(p, np.ones(len(p.tag), bool))
+
+
+def slow_extract(html, trees):
+    """One page, node by node: log-odds by walking each tree, the best consistent choice by recursion."""
+    page = dom.Page(html)
+    x, full = page.features()
+    logit = [0.0] * len(full)
+    for i in np.flatnonzero(full):
+        logit[i] = trees.base
+        for feature, cut, leaf in zip(trees.feature, trees.cut, trees.leaf, strict=True):
+            node = 0
+            for level in range(trees.depth):
+                at = 2**level - 1 + node
+                node = node * 2 + int(x[i, feature[at]] > cut[at])
+            logit[i] += leaf[node]
+    kids = [[j for j in range(len(full)) if page.parent[j] == i] for i in range(len(full))]
+
+    def whole(i):
+        return logit[i] + sum(map(whole, kids[i]))
+
+    def best(i):
+        """Greatest sum of the subtree and the nodes kept."""
+        w = whole(i)
+        below = [best(j) for j in kids[i]]
+        mixed = sum(v for v, _ in below) - dom.PENALTY if below else -math.inf
+        if mixed > max(w, -w) + 1e-9:
+            return mixed, {n for _, k in below for n in k}
+        return (w, set(range(i, page.end[i]))) if w > -w else (-w, set())
+
+    kept = best(0)[1]
+    return dom.page_text(page, np.array([i in kept for i in range(len(full))])), len(full), len(kept)
+
+
+def test_extract_equals_brute_force(spark):
+    pages = spark.read.parquet(f"{DATA}/sf0.001/pages.parquet")
+    trees = dom.model_for(pages)
+    got = {r.page_id: (r.text, r.n_nodes, r.n_kept) for r in dom.extract(pages).collect()}
+    assert got == {r.page_id: slow_extract(r.html, trees) for r in pages.collect()} and any(n > k > 0 for _, n, k in got.values())
+
+
+def test_training_sample_has_one_row_an_id(spark):
+    page = "<article><p>Many words, in a row.</p></article><nav><a>x</a></nav>"
+    pages = spark.createDataFrame([(7, page + " " * i) for i in range(500)] + [(8, None)], "page_id bigint, html string")
+    assert dom.model_for(pages, 1) is not None
+
+
+def test_tokens_shared_by_all_urls_are_mined_as_one(spark):
+    """Thirty query parts in every bad URL would be 2^30 frequent sets; rules have one of them each."""
+    shared = "&".join(f"p{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(30))
+    rows = [(i, f"http://spam.example/x?{shared}", 1) for i in range(60)] + [(100 + i, f"http://good.example/y{i % 9}", 0) for i in range(60)]
+    pages = spark.createDataFrame([r[:2] for r in rows], "page_id bigint, url string")
+    labels = spark.createDataFrame([(i, 1, b) for i, _, b in rows], "doc_id bigint, quality int, toxic int")
+    rules = urlrules.mine(pages, labels, 0.0, 10, 0.6).collect()
+    assert all(len(r["items"]) == 1 and r.support == 60 and r.confidence == 1.0 for r in rules) and len(rules) == 32
+    got = urlrules.match(pages, urlrules.mine(pages, labels, 0.0, 10, 0.6))
+    assert {r.page_id for r in got.filter("blocked").collect()} == set(range(60))
