@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 MASK = 0xFFFFFFFF
 M_HI, M_LO1, M_LO0 = 2862933555777941757 >> 32, (2862933555777941757 >> 16) & 0xFFFF, 2862933555777941757 & 0xFFFF
@@ -43,9 +44,12 @@ def jump_hash(key: Column, shards: int = N_SHARDS) -> Column:
 def shard(docs: DataFrame, shards: int = N_SHARDS, key: str = "doc_id", out: str = "shard") -> DataFrame:
     """Every row with its shard, in one narrow pass.
 
-    A null key has the null shard; equal keys and repeated rows share a shard; an empty table stays empty; texts aren't
-    looked at. A column that is already named as ``out`` is replaced, all others are kept."""
-    return docs.withColumn(out, jump_hash(F.col(f"`{key}`"), shards))
+    Integer keys are hashed as they are; keys of any other type by their 64-bit xxHash. A null key has the null shard; equal
+    keys and repeated rows share a shard; an empty table stays empty; texts aren't looked at. A column that is already named as ``out`` is replaced, all others are kept."""
+    k = F.col(f"`{key}`")
+    if not isinstance(docs.schema[key].dataType, IntegralType):
+        k = F.when(k.isNotNull(), F.xxhash64(k))
+    return docs.withColumn(out, jump_hash(k, shards))
 
 
 def oracle(shards: int = N_SHARDS, source: str = "documents") -> str:

@@ -77,3 +77,35 @@ def test_mixing_edge_cases(spark, messy, none):
     assert mixing.mix_sources(messy, copy_col=None).columns == messy.columns
     assert mixing.mix_sources(messy, {"s1": 2.0}).filter("source is null or source <> 's1'").count() == 0
     assert mixing.mix_sources(none).count() == 0
+
+
+def test_tiny_weights_and_large_sources_are_exact(spark):
+    docs = spark.range(60_000).selectExpr("id as doc_id", "'t' as text", "case when id < 3 then 'tiny' when id < 30000 then 'a' else 'b' end as source")
+    n = {r.source: r["count"] for r in mixing.mix_sources(docs, {"a": 1e-9, "b": 3e-9, "tiny": 1e-13}).groupBy("source").count().collect()}
+    assert abs(n["a"] - 15_000) <= 1 and abs(n["b"] - 45_000) <= 1 and n.get("tiny", 0) in (1, 2)
+    n = {r.source: r["count"] for r in mixing.mix_sources(docs, {"a": 1e-9, "b": 1.0}).groupBy("source").count().collect()}
+    assert n["b"] in (60_000, 59_999) and n.get("a", 0) <= 1
+    for bad in (-1.0, float("nan"), float("inf")):
+        with pytest.raises(ValueError):
+            mixing.mix_sources(docs, {"a": bad})
+
+
+def test_places_equal_exact_fractions(spark):
+    from fractions import Fraction
+    from hashlib import md5
+
+    docs = [(i, "t", "x" if i % 7 else "y") for i in range(700)]
+    got = Counter((r.source, r.doc_id) for r in mixing.mix_sources(spark.createDataFrame(docs, "doc_id bigint, text string, source string"), {"x": 1.0, "y": 2.5}).collect())
+    for s, w in (("x", Fraction(2, 7)), ("y", Fraction(5, 7))):
+        ids = sorted((d for d, _, c in docs if c == s), key=lambda d: (d % mixing.BUCKETS, d))
+        e, u = Fraction(int(700 * 10**6 * w), 10**6) / len(ids), Fraction(int(md5(f"42:s{s}".encode()).hexdigest()[:8], 16) % 10**6, 10**6)
+        for k, d in enumerate(ids, 1):
+            assert got[s, d] == int(u + k * e) - int(u + (k - 1) * e)
+
+
+def test_ids_of_other_types(spark):
+    docs = spark.createDataFrame([(f"id-{i}", "t", "s") for i in range(100)] + [(None, None, None), ("id-3", "t", "s")], "doc_id string, text string, source string")
+    out = sharding.shard(docs, 16).collect()
+    assert all((r.shard is None) == (r.doc_id is None) for r in out) and len({r.shard for r in out}) > 10
+    assert len({r.shard for r in out if r.doc_id == "id-3"}) == 1
+    assert abs(mixing.mix_sources(docs).count() - 102) <= 2
