@@ -1,7 +1,8 @@
-"""Telephony audio columns: mu-law and A-law by lookup tables, IMA ADPCM by numpy across blocks, resampled 16-bit PCM.
+"""Telephony audio columns: mu-law and A-law by lookup tables, IMA and MS ADPCM by numpy across blocks, resampled 16-bit PCM.
 
 A clip is a row (codec, rate, payload): payloads of 'mulaw' and 'alaw' hold a byte per sample, those of 'ima_adpcm' hold
-mono blocks of `block` bytes (a header of predictor and step index, then two samples a byte, low half first). The
+mono blocks of `block` bytes (a header of predictor and step index, then two samples a byte, low half first), those of 'ms_adpcm'
+blocks with a header of coefficient set, step and two samples, then two samples a byte, high half first. The
 ADPCM state runs from sample to sample but not from block to block, so the decoder steps through sample positions once and handles the blocks
 of all clips of an Arrow batch in each step. Resampling is by a windowed-sinc polyphase filter.
 """
@@ -16,8 +17,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.runtime import small_batches
 
 BLOCK = 256
+#: Samples of an IMA block.
+SAMPLES = 2 * (BLOCK - 4) + 1
 OUT_RATE = 16000
 STEP = np.array([7, 8, 9, 10, 11, 12, 13, 14, 16, 17, 19, 21, 23, 25, 28, 31, 34, 37, 41, 45, 50, 55, 60, 66, 73, 80, 88, 97, 107, 118, 130, 143, 157, 173, 190, 209, 230, 253, 279, 307, 337, 371, 408, 449, 494, 544, 598, 658, 724, 796, 876, 963, 1060, 1166, 1282, 1411, 1552, 1707, 1878, 2066, 2272, 2499, 2749, 3024, 3327, 3660, 4026, 4428, 4871, 5358, 5894, 6484, 7132, 7845, 8630, 9493, 10442, 11487, 12635, 13899, 15289, 16818, 18500, 20350, 22385, 24623, 27086, 29794, 32767], np.int32)
 MOVE = np.array([-1, -1, -1, -1, 2, 4, 6, 8] * 2, np.int32)
@@ -70,6 +74,34 @@ def ima_decode(blocks: np.ndarray) -> np.ndarray:
     return out
 
 
+MS_MOVE = np.array([230, 230, 230, 230, 307, 409, 512, 614, 768, 614, 512, 409, 307, 230, 230, 230], np.int64)
+#: Steps beyond this occur in damaged blocks only.
+MS_MOST = 1 << 21
+MS_COEF = np.array([(256, 0), (512, -256), (0, 0), (192, 64), (240, 0), (460, -208), (392, -232)], np.int64)
+
+
+def ms_decode(blocks: np.ndarray) -> np.ndarray:
+    """Samples (int16) of mono MS ADPCM blocks, one row each: 2 + 2 * (block - 7) samples a row. An unknown coefficient set is read as the last."""
+    head = blocks[:, :7].astype(np.int64)
+    signed = lambda a, b: ((head[:, a] | head[:, b] << 8) ^ 0x8000) - 0x8000
+    c1, c2 = MS_COEF[np.minimum(head[:, 0], 6)].T
+    delta, new, old = signed(1, 2), signed(3, 4), signed(5, 6)
+    out = np.empty((len(blocks), 2 + 2 * (blocks.shape[1] - 7)), np.int16)
+    out[:, 0], out[:, 1] = old, new
+    for k in range(7, blocks.shape[1]):
+        for half in (1, 0):
+            code = blocks[:, k].astype(np.int64) >> (4 * half) & 15
+            guess = (new * c1 + old * c2) >> 8
+            old, new = new, np.clip(guess + ((code ^ 8) - 8) * delta, -32768, 32767)
+            delta = np.clip(MS_MOVE[code] * delta >> 8, 16, MS_MOST)
+            out[:, 2 * (k - 7) + 3 - half] = new
+    return out
+
+
+#: Decoder and bytes of the header of each codec that comes in blocks.
+BLOCKED = {"ima_adpcm": (ima_decode, 4), "ms_adpcm": (ms_decode, 7)}
+
+
 def ima_encode(pcm: np.ndarray) -> np.ndarray:
     """Blocks of rows of samples, an odd number each; every block starts anew."""
     x = pcm.astype(np.int32)
@@ -109,17 +141,19 @@ def resample(x: np.ndarray, rate: int, out_rate: int) -> np.ndarray:
     out = np.empty((len(x), n))
     pad = half // up + 1
     wide = np.pad(x.astype(np.float64), ((0, 0), (pad, pad + 1)))
+    stride = down // gcd(up, down)
     for phase in range(up):  # outputs whose place between input samples is the same share their coefficients
         m = np.arange(n)[(np.arange(n) * down) % up == phase]
         if not len(m):
             continue
         c = h[(phase + half) % up :: up]  # taps at distance phase + k * up from the centre
-        first = m * down // up + (phase + half) // up  # newest input sample that the filter reaches
+        first = m[0] * down // up + (phase + half) // up + pad  # newest input sample that the filter reaches, and from there on every `stride`-th
         acc = np.zeros((len(x), len(m)))
         for k, coef in enumerate(c):
-            at = first - k + pad
-            ok = (at >= 0) & (at < wide.shape[1])
-            acc[:, ok] += coef * wide[:, at[ok]]
+            at = first - k
+            skip = max(0, -(-(-at) // stride)) if at < 0 else 0
+            part = wide[:, at + skip * stride :: stride][:, : len(m) - skip]
+            acc[:, skip : skip + part.shape[1]] += coef * part
         out[:, m] = acc
     return np.clip(np.rint(out), -32768, 32767).astype(np.int16)
 
@@ -128,32 +162,27 @@ def decode_clips(codecs: list[str | None], rates: list[int | None], payloads: li
     """PCM of each clip, None for one that can't be decoded."""
     out: list[np.ndarray | None] = [None] * len(codecs)
     pcm: dict[int, np.ndarray] = {}
-    ima, sizes = [], []
+    found: dict[tuple[str, int], list[tuple[int, np.ndarray]]] = {}
+    order: dict[int, list[np.ndarray]] = {}
     for i, (c, r, p) in enumerate(zip(codecs, rates, payloads, strict=True)):
         if p is None or r is None or r <= 0:
             continue
         if c in ("mulaw", "alaw"):
             pcm[i] = (MULAW if c == "mulaw" else ALAW)[np.frombuffer(p, np.uint8)]
-        elif c == "ima_adpcm":
-            pcm[i] = np.zeros(0, np.int16)
+        elif c in BLOCKED:
+            order[i] = []
             if n := len(p) // block:
-                ima.append((i, n))
-                sizes.append(np.frombuffer(p, np.uint8, n * block).reshape(n, block))
-            if len(p) % block >= 4:  # a short last block
-                ima.append((i, -1))
-                sizes.append(np.frombuffer(p, np.uint8, offset=n * block)[None, :])
-    by: dict[int, list[int]] = {}
-    for k, b in enumerate(sizes):
-        by.setdefault(b.shape[1], []).append(k)
-    done: dict[int, np.ndarray] = {}
-    for ks in by.values():
-        rows = ima_decode(np.concatenate([sizes[k] for k in ks]))
+                found.setdefault((c, block), []).append((i, np.frombuffer(p, np.uint8, n * block).reshape(n, block)))
+            if len(p) % block >= BLOCKED[c][1]:  # a short last block
+                found.setdefault((c, len(p) % block), []).append((i, np.frombuffer(p, np.uint8, offset=n * block)[None, :]))
+    for (c, size), parts in sorted(found.items(), key=lambda x: -x[0][1]):  # whole blocks before short ones; all clips' blocks of one size at once
+        rows = BLOCKED[c][0](np.concatenate([b for _, b in parts]))
         at = 0
-        for k in ks:
-            done[k] = rows[at : at + len(sizes[k])].reshape(-1)
-            at += len(sizes[k])
-    for k, (i, _) in enumerate(ima):
-        pcm[i] = np.concatenate([pcm[i], done[k]])
+        for i, b in parts:
+            order[i].append(rows[at : at + len(b)].reshape(-1))
+            at += len(b)
+    for i, parts in order.items():
+        pcm[i] = np.concatenate([np.zeros(0, np.int16), *parts])
     same: dict[tuple[int, int], list[int]] = {}
     for i, x in pcm.items():
         same.setdefault((rates[i], len(x)), []).append(i)
@@ -168,8 +197,9 @@ def decode(clips: DataFrame, block: int = BLOCK, out_rate: int = OUT_RATE) -> Da
     pcm (16-bit little-endian, mono).
 
     A null codec, rate or payload, an unknown codec or a rate that isn't positive gives a null pcm and n_samples; an
-    empty payload an empty pcm and 0; ADPCM bytes after the last whole block are a shorter block, under 4 bytes they are
-    dropped. Repeated rows are each decoded; columns named as the results are replaced; an empty table stays empty."""
+    empty payload an empty pcm and 0; ADPCM bytes after the last whole block are a shorter block, shorter than a block's header they are
+    dropped. Long clips are decoded whole. Repeated rows are each decoded; columns named as the results are replaced; an empty table stays empty."""
+    small_batches(clips.sparkSession)
     kept = [c for c in clips.columns if c not in ("payload", "sample_rate", "n_samples", "pcm")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,29 +214,35 @@ def decode(clips: DataFrame, block: int = BLOCK, out_rate: int = OUT_RATE) -> Da
     return clips.select(*[F.col(f"`{c}`") for c in kept], F.col("codec").alias("__loom_c"), F.col("rate").cast("int").alias("__loom_r"), F.col("payload").cast("binary").alias("__loom_p")).mapInArrow(run, f"{schema}, sample_rate int, n_samples bigint, pcm binary")
 
 
-def vector_clips(vectors: DataFrame) -> DataFrame:
+def vector_clips(vectors: DataFrame, blocks: int = 1) -> DataFrame:
     """Clips (vec_id, codec, rate, payload) made from embeddings, as the test tables hold no audio: a vector's values,
-    scaled and drawn out to the 505 samples of one ADPCM block, are the wave; the id picks the codec."""
+    scaled and drawn out, are the wave; the id picks the codec and the length: one ADPCM block, or up to `blocks` of which the last is short."""
+    tail = SAMPLES if blocks == 1 else SAMPLES // 3 | 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0)
             codecs, payloads = [], []
             for i, v in zip(ids.to_pylist(), batch.column(1).to_pylist(), strict=True):
-                kind = ("mulaw", "alaw", "ima_adpcm")[(i or 0) % 3]
+                kind, whole = ("mulaw", "alaw", "ima_adpcm")[(i or 0) % 3], (i or 0) // 3 % blocks
                 codecs.append(kind)
                 if not v:
                     payloads.append(None if v is None else b"")
                     continue
                 x = np.nan_to_num(np.array(v, np.float64))
-                wave = np.interp(np.linspace(0, len(x) - 1, 2 * (BLOCK - 4) + 1), np.arange(len(x)), x)
+                wave = np.interp(np.linspace(0, len(x) - 1, whole * SAMPLES + tail), np.arange(len(x)), x)
                 payloads.append(np.clip(wave * 32000 / max(1e-9, np.abs(wave).max()), -32768, 32767).astype(np.int16))
-            ima = [k for k, c in enumerate(codecs) if c == "ima_adpcm" and isinstance(payloads[k], np.ndarray)]
-            for k, b in zip(ima, ima_encode(np.stack([payloads[k] for k in ima])) if ima else [], strict=True):
-                payloads[k] = b.tobytes()
+            same: dict[int, list[int]] = {}
             for k, c in enumerate(codecs):
                 if isinstance(payloads[k], np.ndarray):
-                    payloads[k] = companded(payloads[k], MULAW if c == "mulaw" else ALAW).tobytes()
+                    same.setdefault(len(payloads[k]) if c == "ima_adpcm" else 0, []).append(k)
+            for k in same.pop(0, ()):
+                payloads[k] = companded(payloads[k], MULAW if codecs[k] == "mulaw" else ALAW).tobytes()
+            for n, ks in same.items():
+                rows = np.stack([payloads[k] for k in ks])
+                full, last = ima_encode(rows[:, : n - tail].reshape(-1, SAMPLES)) if n > tail else np.zeros((0, BLOCK), np.uint8), ima_encode(rows[:, n - tail :])
+                for k, a, b in zip(ks, full.reshape(len(ks), -1), last, strict=True):
+                    payloads[k] = a.tobytes() + b.tobytes()
             yield pa.RecordBatch.from_arrays([ids, pa.array(codecs), pa.array([8000] * len(codecs), pa.int32()), pa.array(payloads, pa.binary())], ["vec_id", "codec", "rate", "payload"])
 
     return vectors.select("vec_id", "embedding").mapInArrow(run, "vec_id bigint, codec string, rate int, payload binary")

@@ -4,15 +4,26 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.fs as pafs
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions.wordhash import CHUNK, _powers, buffers, hash_list, hashed_words, mix, norm, pair_rank, process_cache
 from corpusloom.runtime import cut, shared_dir, table, written
 
-__all__ = ["CHUNK", "_powers", "buffers", "components", "cut", "hash_list", "hashed_words", "mix", "norm", "pair_rank", "process_cache", "run_bounds", "shared_dir", "sorted_runs", "table", "written"]
+__all__ = ["CHUNK", "_powers", "buffers", "components", "cut", "hash_list", "hashed_words", "mix", "new_folder", "norm", "pair_rank", "process_cache", "run_bounds", "shared_dir", "sorted_runs", "table", "written"]
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A new folder within the one that all executors share."""
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    fs, p = pafs.FileSystem.from_uri(path)
+    fs.create_dir(p)
+    return path
 
 
 def sorted_runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.RecordBatch]:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from corpusloom.llm import audio, decontam, dom, mixing, sharding, simhash, suffix_dedup, toxicity, urlrules, warc
-from corpusloom.llm.common import table
+from corpusloom.llm.common import cut, new_folder, table
 
 
 def op1_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,7 +31,7 @@ def op5_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audio.decode(audio.vector_clips(table(spark, sf_dir, "embeddings")))
+    return audio.decode(audio.vector_clips(table(spark, sf_dir, "embeddings"), 4))
 
 
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,7 +47,9 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_warc_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.normalise(warc.monolithic(table(spark, sf_dir, "pages")))
+    """Archives of all pages are written to the shared folder as whole-file gzip; their paths are the normaliser's input."""
+    old, new = (new_folder(spark, name) for name in ("archives", "normalised"))
+    return warc.normalise_files(cut(warc.stored(warc.monolithic(table(spark, sf_dir, "pages")), old)), new)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

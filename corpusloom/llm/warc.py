@@ -2,25 +2,36 @@
 
 A file that was compressed as one stream can't be read at a record. The normaliser inflates the stream once, in pieces,
 cuts it at record boundaries (header block, blank line, Content-Length bytes, two line ends), compresses every record as a gzip member of its own
-and notes offset and length of each member. Memory is bounded by the largest record.
+and notes offset and length of each member. normalise_files() reads files by their paths and writes the new file and its index beside each other, in an executor each and to any
+storage that a path can name, so its memory is bounded by the largest record (or, where a record states more bytes than the file has, by the
+rest of the file). normalise() is the same for files that are cells of a table.
 """
 
 from __future__ import annotations
 
+import gzip
 import hashlib
+import json
+import uuid
 import zlib
 from collections.abc import Iterator
 from typing import BinaryIO
 
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.runtime import small_batches
 
 PIECE = 1 << 18
+#: A header block without an end within so many bytes is damage.
+MAX_HEADER = 1 << 20
 #: Pages per file of the test archive.
 PAGES_PER_FILE = 256
+#: Tasks that files are divided among, at most.
+MAX_TASKS = 10_000
+FILE_INDEX = "path string, file string, record int, record_id string, type string, uri string, offset bigint, length bigint, raw_length bigint, digest string, error string"
 INDEX = "file string, record int, record_id string, type string, uri string, offset bigint, length bigint, raw_length bigint, digest string, member binary, error string"
 
 
@@ -80,14 +91,14 @@ def records(pieces: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
         seen = 0
         while (end := buf.find(b"\r\n\r\n", max(0, seen - 3))) < 0:
             seen = len(buf)
-            if not more():
+            if seen > MAX_HEADER or not more():
                 raise WarcError("header without end")
         lines = bytes(buf[:end]).decode("utf-8", "replace").split("\r\n")
         if not lines[0].startswith("WARC/"):
             raise WarcError(f"no record begins with {lines[0][:20]!r}")
         head = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
         size = head.get("content-length", "")
-        if not size.isdigit():
+        if not (size.isascii() and size.isdecimal() and len(size) < 19):
             raise WarcError("record without a length")
         total = end + 4 + int(size) + 4
         while len(buf) < total and more():
@@ -110,27 +121,115 @@ def member(raw: bytes, level: int = 6) -> bytes:
     return z.compress(raw) + z.flush()
 
 
-def normalise_stream(source: BinaryIO, out: BinaryIO, level: int = 6) -> Iterator[tuple[int, dict[str, str], int, int, int]]:
-    """Rewrite a stream; yields (record, header, offset, length, raw length), the sidecar index."""
+def _index_row(n: int, head: dict[str, str], raw: bytes, at: int, size: int) -> dict[str, object]:
+    return {"record": n, "record_id": head.get("warc-record-id"), "type": head.get("warc-type"), "uri": head.get("warc-target-uri"), "offset": at, "length": size, "raw_length": len(raw), "digest": hashlib.sha1(raw).hexdigest()}
+
+
+def _rewritten(source: BinaryIO, out: BinaryIO, level: int) -> Iterator[tuple[int, dict[str, str], bytes, int, int]]:
     at = 0
     for n, (head, raw) in enumerate(records(inflate(iter(lambda: source.read(PIECE), b"")))):
         m = member(raw, level)
         out.write(m)
-        yield n, head, at, len(m), len(raw)
+        yield n, head, raw, at, len(m)
         at += len(m)
 
 
+def normalise_stream(source: BinaryIO, out: BinaryIO, level: int = 6) -> Iterator[tuple[int, dict[str, str], int, int, int]]:
+    """Rewrite a stream; yields (record, header, offset, length, raw length), the sidecar index."""
+    for n, head, raw, at, size in _rewritten(source, out, level):
+        yield n, head, at, size, len(raw)
+
+
+def _opened(path: str) -> tuple[pafs.FileSystem, str]:
+    return pafs.FileSystem.from_uri(path)
+
+
+def _placed(fs: pafs.FileSystem, temporary: str, path: str) -> None:
+    """A whole file takes its name at once; a task that runs again replaces it by the same bytes."""
+    if fs.get_file_info(path).type != pafs.FileType.NotFound:
+        fs.delete_file(path)
+    fs.move(temporary, path)
+
+
+def _schema(ddl: str) -> pa.Schema:
+    kinds = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "binary": pa.binary()}
+    return pa.schema([(n, kinds[t]) for n, t in (x.split() for x in ddl.split(", "))])
+
+
+def normalise_files(files: DataFrame, folder: str, level: int = 6) -> DataFrame:
+    """Of files (path) on shared storage a row per record, the index; the new file and its index as JSON lines
+    (the name and .index.jsonl) are written to the folder, under the name of the file after a digest of its path.
+
+    A null path has no row; plain (uncompressed), empty and already divided files are accepted. A damaged file gives the
+    records before the damage, in the file and the index, and one row with record = -1 and the error; a file that can't be read gives that row alone.
+    Repeated paths are each normalised, to one file; long records are held one at a time; of equal records each has its row; further columns are ignored; an empty table gives no rows."""
+    schema = _schema(FILE_INDEX)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                if path is None:
+                    continue
+                base = f"{hashlib.sha1(path.encode()).hexdigest()[:12]}-{path.rstrip('/').rpartition('/')[2]}"
+                fs, to = _opened(f"{folder}/{base}")
+                temporary, rows, error = f"{to}.{uuid.uuid4().hex}", [], None
+                named = {"path": f"{folder}/{base}", "file": path.rpartition("/")[2]}
+                try:
+                    source_fs, source_path = _opened(path)
+                    with source_fs.open_input_stream(source_path, compression=None) as source, fs.open_output_stream(temporary, compression=None) as out, fs.open_output_stream(f"{temporary}.index", compression=None) as index:
+                        try:
+                            for found in _rewritten(source, out, level):
+                                row = _index_row(*found)
+                                index.write(json.dumps(row).encode() + b"\n")
+                                rows.append(named | row | {"error": None})
+                                if len(rows) >= 4096:
+                                    yield pa.RecordBatch.from_pylist(rows, schema)
+                                    rows = []
+                        except WarcError as e:
+                            error = str(e)
+                    _placed(fs, temporary, to)
+                    _placed(fs, f"{temporary}.index", f"{to}.index.jsonl")
+                except OSError as e:
+                    error = f"file: {e}"
+                if error:
+                    rows.append(named | {"record": -1, "error": error})
+                if rows:
+                    yield pa.RecordBatch.from_pylist(rows, schema)
+
+    # a path is a small row for much work: as many tasks as files, so the optimiser mustn't join them
+    return files.select("path").repartition(max(1, min(files.count(), MAX_TASKS))).mapInArrow(run, FILE_INDEX)
+
+
+def fetch(index: DataFrame) -> DataFrame:
+    """(path, record, content) of rows of an index: each record is read at its offset, without what is before it. Error rows have no content."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        opened: dict[str, pa.NativeFile] = {}
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["path"] not in opened:
+                    opened.clear()
+                    fs, p = _opened(row["path"])
+                    opened[row["path"]] = fs.open_input_file(p)
+                raw = gzip.decompress(opened[row["path"]].read_at(row["length"], row["offset"]))
+                yield pa.RecordBatch.from_arrays([pa.array([row["path"]]), pa.array([row["record"]], pa.int32()), pa.array([raw], pa.binary())], ["path", "record", "content"])
+
+    return index.filter("path is not null and record >= 0").select("path", "record", "offset", "length").mapInArrow(run, "path string, record int, content binary")
+
+
 def normalise(files: DataFrame, level: int = 6) -> DataFrame:
     """Of files (file, content) a row per record: its number, WARC-Record-ID, type and target, offset and length of its
     member in the rewritten file, uncompressed length, SHA-1 of the record, the member's bytes and an error.
-    The members of a file in the order of their offsets are the new file; all other columns are the index.
+    The members of a file in the order of their offsets are the new file; all other columns are the index. A file is
+    a cell here, so it is held whole and can't exceed 2 GB; normalise_files() has neither limit.
 
     A null or empty content has no row; plain (uncompressed) and already divided files are accepted. A damaged file
     gives the records before the damage and one row with record = -1 and the error. Repeated files are each
     normalised; further columns are ignored; an empty table gives no rows."""
 
+    schema = _schema(INDEX)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([(n, {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "binary": pa.binary()}[t]) for n, t in (x.split() for x in INDEX.split(", "))])
         for batch in batches:
             for i in range(batch.num_rows):
                 name, content = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
@@ -140,15 +239,15 @@ def normalise(files: DataFrame, level: int = 6) -> DataFrame:
                 try:
                     for n, (head, raw) in enumerate(records(inflate(content[k : k + PIECE] for k in range(0, len(content), PIECE)))):
                         m = member(raw, level)
-                        rows.append((name, n, head.get("warc-record-id"), head.get("warc-type"), head.get("warc-target-uri"), at, len(m), len(raw), hashlib.sha1(raw).hexdigest(), m, None))
+                        rows.append({"file": name, **_index_row(n, head, raw, at, len(m)), "member": m, "error": None})
                         at, held = at + len(m), held + len(m)
                         if held > 1 << 24:
-                            yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in rows], schema)
+                            yield pa.RecordBatch.from_pylist(rows, schema)
                             rows, held = [], 0
                 except WarcError as e:
-                    rows.append((name, -1, None, None, None, at, None, None, None, None, str(e)))
+                    rows.append({"file": name, "record": -1, "offset": at, "error": str(e)})
                 if rows:
-                    yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in rows], schema)
+                    yield pa.RecordBatch.from_pylist(rows, schema)
 
     small_batches(files.sparkSession)
     return files.select("file", "content").mapInArrow(run, INDEX)
@@ -174,3 +273,22 @@ def monolithic(pages: DataFrame, per_file: int = PAGES_PER_FILE) -> DataFrame:
         return pa.table({"file": pa.array([f"pages-{key[0].as_py():08d}.warc.gz"]), "content": pa.array([b"".join(out)], pa.binary())})
 
     return pages.select(F.coalesce(F.floor(F.col("page_id") / per_file), F.lit(-1)).cast("bigint").alias("__loom_f"), "page_id", "url", "html").groupBy("__loom_f").applyInArrow(build, "file string, content binary")
+
+
+def stored(files: DataFrame, folder: str) -> DataFrame:
+    """(path) of files (file, content) after they were written to the folder; a null content has no file."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if name is None or not content.is_valid:
+                    continue
+                fs, to = _opened(f"{folder}/{name}")
+                temporary = f"{to}.{uuid.uuid4().hex}"
+                with fs.open_output_stream(temporary, compression=None) as out:
+                    out.write(content.as_buffer())
+                _placed(fs, temporary, to)
+                yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name}"])], ["path"])
+
+    small_batches(files.sparkSession)
+    return files.select("file", "content").mapInArrow(run, "path string")

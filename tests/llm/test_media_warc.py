@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import gzip
 import io
+import json
 
 import numpy as np
 import pytest
@@ -127,3 +128,82 @@ def test_archive_of_pages(spark):
     rows = warc.normalise(warc.monolithic(pages, 8)).filter(F.col("type") == "response").collect()
     assert len(rows) == 22 and all(r.error is None for r in rows)
     assert sum(gzip.decompress(r.member).endswith(b"<p>3</p>\r\n\r\n") for r in rows) == 2
+
+
+def test_files_are_rewritten_and_read_by_their_index(spark, tmp_path):
+    """Through Spark: files of one stream, larger than a piece and with many records, become files that are read at any record."""
+    rng = np.random.default_rng(3)
+    pages = [bytes(rng.integers(32, 127, int(n), dtype=np.uint8)) for n in rng.integers(0, 3000, 900)] + [b"z" * 2_000_000]
+    raw = build(pages)
+    (tmp_path / "in").mkdir()
+    (tmp_path / "out").mkdir()
+    cases = {"whole.warc.gz": gzip.compress(raw), "plain.warc": raw, "cut.warc.gz": gzip.compress(raw)[:-500], "empty.warc.gz": b"", "bad.warc": b"WARC/1.0\r\nContent-Length: \xc2\xb2\r\n\r\nab\r\n\r\n", "noise.warc": b"WARC/1.0 " * 300_000}
+    for name, content in cases.items():
+        (tmp_path / "in" / name).write_bytes(content)
+    paths = spark.createDataFrame([(str(tmp_path / "in" / n), "x") for n in [*cases, "missing.warc"]] + [(None, "x"), (str(tmp_path / "in" / "whole.warc.gz"), "x")], "path string, record string")
+    assert len(cases["whole.warc.gz"]) > 4 * warc.PIECE
+    index = warc.normalise_files(paths, str(tmp_path / "out")).persist()
+    rows = index.collect()
+    count = lambda f, ok=True: sum(r.file == f and (r.error is None) == ok for r in rows)
+    assert (count("whole.warc.gz"), count("plain.warc"), count("empty.warc.gz")) == (2 * len(pages), len(pages), 0)
+    assert count("cut.warc.gz") >= 800 and [count(f, False) for f in ("cut.warc.gz", "bad.warc", "noise.warc", "missing.warc")] == [1, 1, 1, 1]
+    for name in ("whole.warc.gz", "plain.warc"):
+        one = index.filter((F.col("file") == name) & (F.col("record") % 7 == 0)).distinct()
+        got = {r.record: r.content for r in warc.fetch(one).collect()}
+        starts = np.cumsum([0] + [len(warc.record_bytes("response", f"r{i}", f"http://x/{i}", p)) for i, p in enumerate(pages)])
+        assert got == {i: raw[starts[i] : starts[i + 1]] for i in range(0, len(pages), 7)}
+        whole = next(p for p in (tmp_path / "out").iterdir() if p.name.endswith(name))
+        assert gzip.decompress(whole.read_bytes()) == raw
+        lines = [json.loads(x) for x in (tmp_path / "out" / f"{whole.name}.index.jsonl").read_text().splitlines()]
+        assert sorted((x["record"], x["offset"], x["length"]) for x in lines) == sorted({(r.record, r.offset, r.length) for r in rows if r.file == name})
+    assert not [p for p in (tmp_path / "out").iterdir() if not p.name.endswith((".gz", ".warc", ".jsonl"))]
+
+
+def test_query_of_archives_equals_the_pages(spark):
+    from checks import DATA
+
+    from corpusloom.llm import queries
+
+    sf = f"{DATA}/sf0.001"
+    index = queries.op10_warc_normalise(spark, sf).persist()
+    assert index.filter("error is not null").count() == 0
+    got = {r.content for r in warc.fetch(index.filter("type = 'response'")).collect()}
+    assert got == {warc.record_bytes("response", f"page-{r.page_id}", r.url, r.html.encode()) for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
+
+
+def ms_slow(block):
+    c1, c2 = [(256, 0), (512, -256), (0, 0), (192, 64), (240, 0), (460, -208), (392, -232)][min(block[0], 6)]
+    delta, new, old = (int.from_bytes(block[i : i + 2], "little", signed=True) for i in (1, 3, 5))
+    out = [old, new]
+    for byte in block[7:]:
+        for code in (byte >> 4, byte & 15):
+            guess = (new * c1 + old * c2) >> 8
+            old, new = new, max(-32768, min(32767, guess + (code - 16 if code > 7 else code) * delta))
+            delta = min(audio.MS_MOST, max(16, int(audio.MS_MOVE[code]) * delta >> 8))
+            out.append(new)
+    return out
+
+
+def test_ms_adpcm_across_blocks_equals_sample_by_sample():
+    blocks = np.random.default_rng(1).integers(0, 256, (20, 64), dtype=np.uint8)
+    assert audio.ms_decode(blocks).tolist() == [ms_slow(bytes(b)) for b in blocks]
+
+
+def test_clips_of_many_blocks_equal_brute_force(spark):
+    """The query's clips, each decoded sample by sample and resampled by the sum over all taps."""
+    vectors = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").limit(60)
+    clips = audio.vector_clips(vectors, 4)
+    taps = audio.sinc_filter(2, 1)
+    half = len(taps) // 2
+    want = {}
+    for r in clips.collect():
+        if r.codec == "ima_adpcm":
+            pcm = [x for k in range(0, len(r.payload), audio.BLOCK) for x in ima_slow(r.payload[k : k + audio.BLOCK])]
+        else:
+            pcm = [(mulaw_sample if r.codec == "mulaw" else alaw_sample)(b) for b in r.payload]
+        wide = np.zeros(2 * len(pcm))
+        wide[::2] = pcm
+        want[r.vec_id] = np.clip(np.rint(np.convolve(wide, taps)[half : half + 2 * len(pcm)]), -32768, 32767).astype(int)
+    assert max(map(len, want.values())) > 3 * 2 * audio.SAMPLES
+    got = {r.vec_id: np.frombuffer(r.pcm, "<i2").astype(int) for r in audio.decode(clips).collect()}
+    assert got.keys() == want.keys() and all(len(got[k]) == len(want[k]) and np.abs(got[k] - want[k]).max() <= 1 for k in want)
