@@ -1,13 +1,16 @@
 """URL filtering by association rules.
 
 URLs are baskets of tokens (host labels, path segments, query parts, fragment). Of a bounded sample of labelled URLs
-Spark's FP-growth mines the frequent token combinations, with the label as one more token; a combination whose URLs are bad with at
-least MIN_CONFIDENCE and MIN_SUPPORT is a rule, unless a part of it is one that is as sure. Rules match URLs by an
-inverted index, token to rules: a rule holds where as many of its tokens are found as it has.
+Spark's FP-growth mines the token combinations that are frequent among the bad ones, and these are counted over all of the sample; a combination
+whose URLs are bad with at least MIN_CONFIDENCE and MIN_SUPPORT is a rule, unless a part of it is one that is as sure. Tokens that are in the same URLs
+of the sample are mined as one (a rule with two of them is never needed beside that with one), so a template of many parts doesn't
+make 2^parts sets. Rules match URLs by an inverted index, token to rules: a rule holds where as many of its tokens are found as it has.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,7 +20,6 @@ from corpusloom.llm.common import cut
 #: Labelled URLs for mining; the bound of the sample.
 MAX_LABELLED = 200_000
 MIN_SUPPORT, MIN_COUNT, MIN_CONFIDENCE = 0.0005, 20, 0.6
-BAD = "label:bad"
 #: Index rows (a token of a rule) up to which the index is broadcast; a larger one is joined by shuffle.
 BROADCAST_ROWS = 100_000
 
@@ -34,21 +36,38 @@ def tokens(url: Column) -> Column:
 
 def mine(pages: DataFrame, labels: DataFrame, min_support: float = MIN_SUPPORT, min_count: int = MIN_COUNT, min_confidence: float = MIN_CONFIDENCE, limit: int = MAX_LABELLED) -> DataFrame:
     """Rules (rule_id, items, support, confidence): token combinations whose labelled URLs are bad (of low quality or
-    toxic). Labels belong to the page with their doc_id; several labels of a page count as bad if one is."""
+    toxic). Labels belong to the page with their doc_id; several labels of a page count as bad if one is. Pages without a URL or label
+    take no part, repeated rows are each counted, long URLs are read whole, empty tables have no rules; ties are kept, all of them."""
     bad = labels.filter("doc_id is not null").groupBy("doc_id").agg(F.max(F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).otherwise(0)).alias("bad"))
     known = pages.filter("url is not null").select("page_id", "url").join(bad, F.col("page_id") == F.col("doc_id"))
     sample = known.orderBy(F.xxhash64("page_id", F.lit(3)), "page_id", "url").limit(limit)
-    baskets = cut(sample.select(F.when(F.col("bad") == 1, F.concat(tokens(F.col("url")), F.array(F.lit(BAD)))).otherwise(tokens(F.col("url"))).alias("items")).filter("size(items) > 0"))
-    n = baskets.count()
-    empty = pages.sparkSession.createDataFrame([], "rule_id bigint, items array<string>, support bigint, confidence double")
-    if not n:
-        return empty
-    sets = FPGrowth(itemsCol="items", minSupport=max(min_support, min_count / n) if min_count <= n else 1.0, minConfidence=1.0).fit(baskets).freqItemsets if min_count <= n else None
-    if sets is None:
-        return empty
-    sets = cut(sets.select(F.sort_array("items").alias("items"), "freq"))
-    with_bad = sets.filter(F.array_contains("items", BAD)).select(F.array_except("items", F.array(F.lit(BAD))).alias("items"), F.col("freq").alias("both")).filter("size(items) > 0")
-    rules = with_bad.join(sets, "items").select("items", F.col("both").alias("support"), (F.col("both") / F.col("freq")).alias("confidence")).filter((F.col("confidence") >= min_confidence) & (F.col("support") >= min_count))
+    cores = pages.sparkSession.sparkContext.defaultParallelism
+    # limit leaves one partition; baskets are numbered before they are spread
+    baskets = cut(sample.select(F.monotonically_increasing_id().alias("basket"), "bad", tokens(F.col("url")).alias("items")).filter("size(items) > 0").repartition(cores, "basket"))
+    n, n_bad = baskets.agg(F.count("*"), F.coalesce(F.sum("bad"), F.lit(0))).first()
+    least = max(min_count, math.ceil(min_support * n))
+    if n_bad < least:
+        return pages.sparkSession.createDataFrame([], "rule_id bigint, items array<string>, support bigint, confidence double")
+    # tokens in the same baskets: equal count and equal sums of two hashes of the baskets (128 bits); the first in order stands for all
+    mark = lambda seed: F.sum(F.xxhash64("basket", F.lit(seed)).cast("decimal(38,0)"))
+    per = baskets.select("basket", "bad", F.explode("items").alias("token")).groupBy("token").agg(F.sum("bad").alias("bad"), F.struct(F.count("*"), mark(1), mark(2)).alias("same"))
+    frequent = per.filter(F.col("bad") >= least)
+    alike = cut(frequent.groupBy("same").agg(F.min("token").alias("first"), F.sort_array(F.collect_list("token")).alias("tokens")).select("first", "tokens"))
+    rows = baskets.select("basket", "bad", F.explode("items").alias("first")).join(alike.select("first"), "first")
+    short = cut(rows.groupBy("basket", "bad").agg(F.collect_list("first").alias("items")))
+    n_mined = short.filter("bad = 1").count()
+    sets = FPGrowth(itemsCol="items", minSupport=min(1.0, least / max(1, n_mined) * (1 - 1e-9)), minConfidence=1.0, numPartitions=cores).fit(short.filter("bad = 1").repartition(cores)).freqItemsets
+    sets = cut(sets.select(F.sort_array("items").alias("items"), F.col("freq").alias("support")).filter(F.col("support") >= least).withColumn("set_id", F.monotonically_increasing_id()))
+    # how often each set is in any basket: by the inverted index, as rules match
+    index = sets.select(F.explode("items").alias("token"), "set_id", F.size("items").alias("n"))
+    held = short.select("basket", F.explode("items").alias("token")).join(index, "token").groupBy("basket", "set_id", "n").count().filter("count = n")
+    freq = held.groupBy("set_id").agg(F.count("*").alias("freq"))
+    sure = sets.join(freq, "set_id").select("items", "support", (F.col("support") / F.col("freq")).alias("confidence")).filter(F.col("confidence") >= min_confidence)
+    # every token of a group can stand for it
+    for_all = sure.select(F.monotonically_increasing_id().alias("rule"), "*").select("rule", "support", "confidence", F.posexplode("items").alias("place", "first")).join(alike, "first")
+    chosen = for_all.groupBy("rule", "support", "confidence").agg(F.collect_list("tokens").alias("choices"))
+    many = F.aggregate("choices", F.array(F.array().cast("array<string>")), lambda acc, c: F.flatten(F.transform(acc, lambda x: F.transform(c, lambda t: F.concat(x, F.array(t))))))
+    rules = chosen.select(F.explode(many).alias("items"), "support", "confidence").withColumn("items", F.sort_array("items"))
     rules = cut(rules.withColumn("rule_id", F.xxhash64("items")))
     # a rule goes if a smaller one of its tokens is as sure; found by the inverted index, as a match is
     index = rules.select(F.explode("items").alias("token"), F.col("rule_id").alias("small"), F.size("items").alias("n"), F.col("confidence").alias("c"))
