@@ -104,3 +104,59 @@ def test_labelled_sample_is_bounded_and_stable(spark):
     labels = spark.createDataFrame([(i, 1, i % 2) for i in range(150)] + [(None, 1, 1), (3, 1, None)], "doc_id bigint, quality int, toxic int")
     a, b = tox.labelled_sample(docs, labels, 20)
     assert len(a) == len(b) == 10 and (a, b) == tox.labelled_sample(docs.repartition(5), labels.repartition(3), 20)
+
+
+def test_code_points_are_those_of_the_text():
+    t = "aé€😀 中Жz\x00߿퟿\U0010ffff"
+    for x in (t, "", "plain", "é", "😀"):
+        got, at = tox.code_points(np.frombuffer(x.encode(), np.uint8))
+        assert got.tolist() == [ord(c) for c in x]
+        assert at is None or at.tolist() == [len(x[:i].encode()) for i in range(len(x))]
+
+
+SCRIPTS = {
+    "short": ("ba ko ri tu me sna plo ve dri zu gro li ti ch na so".split(), ["ykk", "wub", "xo"], (1, 4), " "),
+    "cyrillic": ("ба ко ри ту ме сна пло ве дри зу гро ли ти чх".split(), ["грёбнак", "шмельтик", "вурдох"], (2, 4), " "),
+    "long": ("ba ko ri tu me sna plo ve dri zu gro li ti ch".split(), ["grobnaksmeltikvurdochplinkert", "vurdochzottiggrobnakschmelz"], (1, 4), " "),
+    "han": ([chr(0x4E00 + 7 * i) for i in range(400)], ["超級壞", "無軟骨頭"], (1, 3), ""),
+}
+
+
+@pytest.mark.parametrize("name", sorted(SCRIPTS))
+def test_short_long_and_other_words(spark, name):
+    """Insults of two and three letters, of over 16, in Cyrillic, and in Han text without blanks: held-out documents."""
+    syll, insults, (lo, hi), blank = SCRIPTS[name]
+
+    def doc(seed, bad):
+        r, out = random.Random(seed), []
+        for k in range(8):
+            ws = ["".join(r.choice(syll) for _ in range(r.randint(lo, hi))) for _ in range(r.randint(4, 12))]
+            if bad and (k == 3 or r.random() < 0.2):
+                ws.insert(r.randint(0, len(ws)), r.choice(insults))
+            out.append(blank.join(ws))
+        return ("。" if name == "han" else ". ").join(out) + "."
+
+    m = tox.train([doc(i, True) for i in range(250)], [doc(10_000 + i, False) for i in range(250)])
+    got = flagged(spark, m, [doc(20_000 + i, True) for i in range(100)] + [doc(30_000 + i, False) for i in range(100)])
+    assert len([i for i in got if i < 100]) >= 97 and len([i for i in got if i >= 100]) <= 2
+
+
+def test_invisible_characters_within_words_go(spark, model):
+    bad = [sentences(i, 6) + " gr​ob­nak sḿeltik." for i in range(20)]
+    assert len(flagged(spark, model, bad)) >= 19
+
+
+def test_long_words_are_scored_by_all_their_parts(model):
+    code = tox._tables()[1]
+    c = lambda w: code[np.frombuffer(w.encode(), np.uint8)]
+    alone = tox.score_words([c("grobnak")], model.weight)[0]
+    for n in (0, 1, 17, 40, 333):
+        assert tox.score_words([c("q" * n + "grobnak" + "q" * (400 - n))], model.weight)[0] > 0.15 * alone > 0
+    assert tox._pieces(17)[-1] == (5, 12) and all(a + n <= 1000 for a, n in tox._pieces(1000))
+    assert {i for a, n in tox._pieces(1000) for i in range(a, a + n)} == set(range(1000))
+
+
+def test_sample_has_one_row_an_id(spark):
+    docs = spark.createDataFrame([(1, f"text {i:03}") for i in range(300)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(1, 1, 1)], "doc_id bigint, quality int, toxic int")
+    assert tox.labelled_sample(docs, labels, 4) == (["text 000"], [])
