@@ -14,11 +14,11 @@ from corpusloom.plans.registry import query
 from corpusloom.runtime import table
 
 QRELS = "qrels AS (SELECT b.item_id AS query_id, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text))"
-N_DENSE, K = 50, 10
+K = 10
 VEC = "v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings)"
-DENSE = f"{VEC}, dn AS (SELECT q.vec_id AS query_id, c.vec_id AS doc_id, round(list_inner_product(q.e, c.e), 6) AS score FROM v q, v c WHERE q.vec_id < {N_DENSE} AND q.vec_id <> c.vec_id), dense AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM dn QUALIFY rank <= {K})"
-L2 = f"{VEC}, ln2 AS (SELECT q.vec_id AS query_id, c.vec_id AS doc_id, round(list_distance(q.e, c.e), 6) AS score FROM v q, v c WHERE q.vec_id < {N_DENSE} AND q.vec_id <> c.vec_id), l2 AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score, doc_id) AS INTEGER) AS rank FROM ln2 QUALIFY rank <= {K})"
-LABELS = f"lq AS (SELECT a.vec_id AS query_id, b.vec_id AS doc_id FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id < {N_DENSE})"
+DENSE = f"{VEC}, dn AS (SELECT q.vec_id AS query_id, c.vec_id AS doc_id, round(list_inner_product(q.e, c.e), 6) AS score FROM v q, v c WHERE q.vec_id <> c.vec_id), dense AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM dn QUALIFY rank <= {K})"
+L2 = f"{VEC}, ln2 AS (SELECT q.vec_id AS query_id, c.vec_id AS doc_id, round(list_distance(q.e, c.e), 6) AS score FROM v q, v c WHERE q.vec_id <> c.vec_id), l2 AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score, doc_id) AS INTEGER) AS rank FROM ln2 QUALIFY rank <= {K})"
+LABELS = f"lq AS (SELECT a.vec_id AS query_id, b.vec_id AS doc_id FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id)"
 OVERLAP = r"""ow AS (SELECT doc_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '')) AS w FROM documents),
 oq AS (SELECT item_id AS query_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '')) AS w FROM benchmark)"""
 
@@ -33,12 +33,12 @@ def qrels(spark: SparkSession, d: str) -> DataFrame:
 
 def near(spark: SparkSession, d: str, metric: str = "ip", k: int = K) -> DataFrame:
     e = table(spark, d, "embeddings")
-    return dense.search(e, e.filter(F.col("vec_id") < N_DENSE), k, metric, exclude_self=True)
+    return dense.search(e, e, k, metric, exclude_self=True)
 
 
 def label_qrels(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings").select("vec_id", "label")
-    return e.filter(F.col("vec_id") < N_DENSE).select(F.col("vec_id").alias("query_id"), "label").join(e, "label").filter("query_id <> vec_id").select("query_id", F.col("vec_id").alias("doc_id"))
+    return e.select(F.col("vec_id").alias("query_id"), "label").join(e, "label").filter("query_id <> vec_id").select("query_id", F.col("vec_id").alias("doc_id"))
 
 
 def other_legs(spark: SparkSession, d: str) -> list[DataFrame]:
@@ -77,10 +77,10 @@ def dense_metrics(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.metrics(near(spark, d), label_qrels(spark, d))
 
 
-@query(f"WITH {VEC} SELECT q.vec_id AS query_id, arg_max(c.vec_id, (round(list_inner_product(q.e, c.e), 6), -c.vec_id)) AS doc_id, max(round(list_inner_product(q.e, c.e), 6)) AS score FROM v q, v c WHERE q.vec_id < {N_DENSE} AND c.vec_id >= {N_DENSE} GROUP BY 1")
+@query(f"WITH {VEC} SELECT q.vec_id AS query_id, arg_max(c.vec_id, (round(list_inner_product(q.e, c.e), 6), -c.vec_id)) AS doc_id, max(round(list_inner_product(q.e, c.e), 6)) AS score FROM v q, v c WHERE q.vec_id % 2 = 1 AND c.vec_id % 2 = 0 GROUP BY 1")
 def seed_argmax(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings")
-    return dense.nearest(e.filter(F.col("vec_id") < N_DENSE), e.filter(F.col("vec_id") >= N_DENSE))
+    return dense.nearest(e.filter("vec_id % 2 = 1"), e.filter("vec_id % 2 = 0"))
 
 
 @query(f"WITH {DENSE} SELECT query_id, doc_id, CASE WHEN max(score) OVER w > min(score) OVER w THEN round((score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w), 6) ELSE 0 END AS norm FROM dense WINDOW w AS (PARTITION BY query_id)")
