@@ -7,8 +7,8 @@ repeat), and the others get new ranks from the sort, the numbers of their runs.
 are sorted in the same way, at growing offsets (32, then 50 words; for other thresholds the widths double), until
 all are unique or the width is the threshold.
 
-The sort compares numbers given by the sort before, so a false match needs two equal 64-bit hashes of START words at one position together with
-a true repeat at the offset (or two such pairs): about 10^-6 of a match at 10^13 positions. Runs of equal ranks are read
+The first sort has 56 bits of a hash of START words; later sorts compare numbers given by the sort before, so a false match needs two equal hashes of
+different words at one position together with a true repeat at the offset: some 10^-4 of a match at 10^13 positions. Runs of equal ranks are read
 as a stream that holds one document's part of a run, so nothing depends on how often a passage repeats. Whole copies of a document
 are found by their text and stand aside, with one of them in the sort.
 """
@@ -44,8 +44,11 @@ def widths(threshold: int) -> list[int]:
 
 
 def _emit(width: int, threshold: int):  # noqa: ANN202
-    """(doc_id, rank, pos) of all positions that have `width` words before the text's end. Texts of a document that has several
-    differ in the upper half of pos. A text with fewer words than the threshold can't hold a passage."""
+    """(doc, key, rest) of all positions that have `width` words before the text's end. Texts of a document that has several
+    differ in the upper half of the position. A text with fewer words than the threshold can't hold a passage.
+
+    This is by far the largest shuffle, so rows are laid out for its compression: what differs from row to row is side by side (the document's
+    last bytes, by swapping them; in the key the position's last byte below the rank), and all else is equal to the row before."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -54,20 +57,31 @@ def _emit(width: int, threshold: int):  # noqa: ANN202
                 r, n = run_names(h, width), np.diff(at)
                 n = np.where(n >= threshold, n - width + 1, 0)
                 d = np.repeat(np.arange(len(n)), n)
-                pos = np.arange(len(d)) - np.repeat(np.cumsum(n) - n, n)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[d + a]), pa.array(r[at[d] + pos].view(np.int64)), pa.array(tag[d + a] << 32 | pos)], ["doc_id", "rank", "pos"])
+                local = np.arange(len(d)) - np.repeat(np.cumsum(n) - n, n)
+                pos, rank = tag[d + a] << 32 | local, r[at[d] + local].view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[d + a].byteswap()), pa.array(rank & ~255 | pos & 255), pa.array(pos >> 8)], ["doc", "key", "rest"])
 
     return run
 
 
-def _rerank(keys: int, last: bool):  # noqa: ANN202
-    """Positions, sorted by their keys (columns between doc_id and pos) and by document, whose keys several documents have: with the number of
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    for batch in batches:
+        doc, key, rest = (batch.column(i).to_numpy() for i in range(3))
+        yield [doc.byteswap(), key >> 8, rest << 8 | key & 255]
+
+
+def _columns(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    for batch in batches:
+        yield [batch.column(i).to_numpy() for i in range(batch.num_columns)]
+
+
+def _rerank(read, last: bool):  # noqa: ANN001, ANN202
+    """Positions whose keys (columns between document and position; rows come sorted by them and by document) several documents have: with the number of
     their run, which no other run in the sort has, or at last with the least document of the run."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         carry, number = None, TaskContext.get().partitionId() << 36
-        for batch in batches:
-            cols = [batch.column(i).to_numpy() for i in range(keys + 2)]
+        for cols in read(batches):
             if carry is not None:
                 cols = [np.concatenate([x, y]) for x, y in zip(carry, cols, strict=True)]
             if not len(cols[0]):
@@ -79,17 +93,18 @@ def _rerank(keys: int, last: bool):  # noqa: ANN202
                 new[1:] |= k[1:] != k[:-1]
             at = np.flatnonzero(new)
             end = np.concatenate([at[1:], [len(doc)]])
-            many = doc[at] != doc[end - 1]
+            many = (doc[at] != doc[end - 1]) | (pos[at] < 0)
             out = np.flatnonzero(np.repeat(many, end - at) & (pos >= 0))
+            low = np.minimum.reduceat(doc, at)
             which = (np.cumsum(new) - 1)[out]
             if len(out):
-                own = [pa.array(pos[out] & LOW), pa.array(doc[at][which])] if last else [pa.array(pos[out]), pa.array(which + number)]
+                own = [pa.array(pos[out] & LOW), pa.array(low[which])] if last else [pa.array(pos[out]), pa.array(which + number)]
                 yield pa.RecordBatch.from_arrays([pa.array(doc[out]), *own], ["doc_id", "pos", "first_id" if last else "rank"])
             number += len(at) - 1
-            # of the last run, which may go on, the first row is enough (marked, as it has been returned) once there are two documents
+            # of the last run, which may go on, one row is enough once there are two documents (marked, as all have been returned)
             carry = [c[at[-1] : at[-1] + 1] for c in cols] if many[-1] else [c[at[-1] :] for c in cols]
             if many[-1]:
-                carry[-1] = np.full(1, -1)
+                carry[0], carry[-1] = low[-1:], np.full(1, -1)
 
     return run
 
@@ -152,17 +167,17 @@ def repeats(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     if n_aside <= BROADCAST_IDS:
         texts = texts.join(F.broadcast(aside), "doc_id", "left_anti")
     width, *wider = widths(threshold)
-    found = texts.select("doc_id", "t", tag.cast("bigint").alias("tag")).mapInArrow(_emit(width, threshold), "doc_id bigint, rank bigint, pos bigint")
-    found = found.repartition(F.col("rank")).sortWithinPartitions("rank", "doc_id")
-    keys = 1
+    rank = F.shiftright("key", 8)
+    found = texts.select("doc_id", "t", tag.cast("bigint").alias("tag")).mapInArrow(_emit(width, threshold), "doc bigint, key bigint, rest bigint")
+    found, read = found.repartition(rank).sortWithinPartitions(rank, "doc"), _unpacked
     for w in wider:
-        found = found.mapInArrow(_rerank(keys, False), "doc_id bigint, pos bigint, rank bigint")
-        if keys == 1 and n_aside > BROADCAST_IDS:
+        found = found.mapInArrow(_rerank(read, False), "doc_id bigint, pos bigint, rank bigint")
+        if read is _unpacked and n_aside > BROADCAST_IDS:
             found = found.join(aside, "doc_id", "left_anti")
         pairs = found.repartition(F.col("doc_id")).sortWithinPartitions("doc_id", "pos").mapInArrow(_pairs(w - width), "doc_id bigint, a bigint, b bigint, pos bigint")
         found = pairs.repartition(F.col("a"), F.col("b")).sortWithinPartitions("a", "b", "doc_id")
-        width, keys = w, 2
-    found = found.mapInArrow(_rerank(keys, True), "doc_id bigint, pos bigint, first_id bigint")
+        width, read = w, _columns
+    found = found.mapInArrow(_rerank(read, True), "doc_id bigint, pos bigint, first_id bigint")
     spans = found.repartition(F.col("doc_id")).sortWithinPartitions("doc_id", "pos").mapInArrow(_spans(threshold), "doc_id bigint, start_word bigint, end_word bigint, first_id bigint")
     spans = cut(spans if wider or n_aside <= BROADCAST_IDS else spans.join(aside, "doc_id", "left_anti"))
     # a first copy may also share passages with other documents: its stretches are within the whole, for all copies

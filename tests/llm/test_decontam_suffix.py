@@ -176,7 +176,7 @@ def test_runs_of_equal_ranks_are_streams(spark):
             import pyarrow as pa
 
             list(it)
-            yield from suffix_dedup._rerank(1, False)(pa.RecordBatch.from_arrays([pa.array(x) for x in c], ["doc_id", "rank", "pos"]) for c in cuts)
+            yield from suffix_dedup._rerank(suffix_dedup._columns, False)(pa.RecordBatch.from_arrays([pa.array(x) for x in c], ["doc_id", "rank", "pos"]) for c in cuts)
 
         got = batches.mapInArrow(run, "doc_id bigint, pos bigint, rank bigint").collect()
         assert {r.pos for r in got} == want and len(got) == len(want)
