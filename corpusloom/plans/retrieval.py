@@ -9,12 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions import vector
-from corpusloom.operators import dense, evaluate, lexical, quality, ranking
+from corpusloom.operators import dense, evaluate, lexical, lexical_index, quality, ranking
 from corpusloom.plans.registry import query
-from corpusloom.runtime import table
+from corpusloom.runtime import shared_dir, table
 
 QRELS = "qrels AS (SELECT b.item_id AS query_id, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text))"
 K = 10
+#: Folders of indexes that this application has built.
+BUILT: set[str] = set()
 VEC = "v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings)"
 DENSE = f"{VEC}, dn AS (SELECT q.vec_id AS query_id, c.vec_id AS doc_id, round(list_inner_product(q.e, c.e), 6) AS score FROM v q, v c WHERE q.vec_id <> c.vec_id), dense AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM dn QUALIFY rank <= {K})"
 L2 = f"{VEC}, ln2 AS (SELECT q.vec_id AS query_id, c.vec_id AS doc_id, round(list_distance(q.e, c.e), 6) AS score FROM v q, v c WHERE q.vec_id <> c.vec_id), l2 AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score, doc_id) AS INTEGER) AS rank FROM ln2 QUALIFY rank <= {K})"
@@ -52,6 +54,31 @@ def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
     return bm25(spark, d)
 
 
+def index_path(spark: SparkSession, d: str) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/bm25-{spark.sparkContext.applicationId}-{d.strip('/').replace('/', '-')}"
+
+
+@query(r"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents)
+SELECT count(*) AS n_terms, sum(df) AS n_postings, max(df) AS max_df, (SELECT count(*) FROM w) AS n_docs, (SELECT sum(len(w)) FROM w) AS n_words FROM (SELECT t, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest(w) AS t FROM w) GROUP BY 1)""")
+def bm25_index_build(spark: SparkSession, d: str) -> DataFrame:
+    """The stored index is built anew, and described."""
+    path = index_path(spark, d)
+    stats = lexical_index.build(table(spark, d, "documents"), path)
+    BUILT.add(path)
+    per = lexical_index.terms(lexical_index.load(spark, path)).agg(F.count("*").alias("n_terms"), F.sum("df").alias("n_postings"), F.max("df").alias("max_df"))
+    return per.crossJoin(stats.select("n_docs", "n_words"))  # one row each
+
+
+@query(f"WITH {lexical.oracle(K)} SELECT query_id, doc_id, score, rank FROM bm25")
+def bm25_index_search(spark: SparkSession, d: str) -> DataFrame:
+    """Search in the stored index, which is built if this application hasn't yet."""
+    path = index_path(spark, d)
+    if path not in BUILT:
+        lexical_index.build(table(spark, d, "documents"), path)
+        BUILT.add(path)
+    return lexical_index.search(lexical_index.load(spark, path), table(spark, d, "benchmark"), K)
+
+
 @query(f"WITH {lexical.oracle(K)}, {QRELS} {evaluate.oracle_metrics('bm25', 'qrels')}")
 def bm25_metrics(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.metrics(bm25(spark, d), qrels(spark, d))
