@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import hash_number
+from corpusloom.runtime import bucket_of
 
 
 def pop(df: DataFrame, columns: Sequence[str], row: str) -> tuple[DataFrame, DataFrame]:
@@ -37,8 +38,8 @@ def repeat(df: DataFrame, n: int, row: str, interleave: bool = True) -> DataFram
 
 
 def numbered(df: DataFrame, key: str, bucket: int = 100_000, out: str = "place") -> DataFrame:
-    """Place of each row by an integer key, from 0, in two levels: rows within buckets of the key, and buckets' sizes."""
-    rows = df.withColumn("__b", F.floor(F.col(key) / bucket))
+    """Place of each row by an integer key, from 0, in two levels: rows within buckets of the key (of about `bucket` rows, however ids are spread), and buckets' sizes."""
+    rows = df.withColumn("__b", bucket_of(df, key, bucket))
     at = rows.groupBy("__b").agg(F.count("*").alias("__n")).select("__b", F.coalesce(F.sum("__n").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__0"))  # one row per bucket
     return rows.join(at, "__b").withColumn(out, F.col("__0") + F.row_number().over(Window.partitionBy("__b").orderBy(key)) - 1).drop("__b", "__0")
 

@@ -3,25 +3,29 @@
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusloom.functions import tokens
 from corpusloom.functions.text import words
-from corpusloom.runtime import spread
+from corpusloom.runtime import bucket_of, spread
 
 
-def chunk_windows(docs: DataFrame, size: int = 128, overlap: int = 32) -> DataFrame:
-    """(doc_id, chunk_id, order, content): windows over the blank-separated words of each section (line); a window never
-    crosses a section; order counts through the document; blank sections have none."""
-    tok = lambda c: F.filter(F.split(c, r"\s+"), lambda w: w != "")
-    per = F.flatten(F.filter(F.transform(F.split("text", "\n"), lambda s: tokens.windows(tok(s), size, overlap)), lambda w: w.isNotNull()))
+def blank_separated(text: Column) -> Column:
+    return F.filter(F.split(text, r"\s+"), lambda w: w != "")
+
+
+def chunk_windows(docs: DataFrame, size: int = 128, overlap: int = 32, tokenize: Callable[[Column], Column] = blank_separated, joined: Callable[[Column], Column] = lambda w: F.array_join(w, " ")) -> DataFrame:
+    """(doc_id, chunk_id, order, content): windows over the tokens of each section (line), by default its blank-separated words; a window never
+    crosses a section; order counts through the document; blank sections have none. tokenize gives a text's tokens as an array of strings, joined
+    the text of such an array."""
+    per = F.flatten(F.filter(F.transform(F.split("text", "\n"), lambda s: tokens.windows(tokenize(s), size, overlap)), lambda w: w.isNotNull()))
     out = spread(docs.select("doc_id", "text")).select("doc_id", F.posexplode(per).alias("order", "w"))
-    return out.select("doc_id", F.concat(F.col("doc_id").cast("string"), F.lit("#"), F.col("order").cast("string")).alias("chunk_id"), "order", F.array_join("w", " ").alias("content"))
+    return out.select("doc_id", F.concat(F.col("doc_id").cast("string"), F.lit("#"), F.col("order").cast("string")).alias("chunk_id"), "order", joined(F.col("w")).alias("content"))
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
@@ -48,11 +52,11 @@ def sentence_chunks(text: pd.Series, size: pd.Series, overlap: pd.Series) -> pd.
     return pd.Series([pack(t, n, o) for t, n, o in zip(text, size, overlap, strict=True)])
 
 
-def pack_tokens(docs: DataFrame, block: int, group: str, eos: str = "</s>", bucket: int = 1000) -> DataFrame:
+def pack_tokens(docs: DataFrame, block: int, group: str, eos: str = "</s>", bucket: int = 1000, tokens: Callable[[Column], Column] = words) -> DataFrame:
     """(group, block_no, input_ids): a group's documents in id order, each with an end mark, as one sequence cut into
     blocks; the short last block is kept only if it is the group's only one. Labels are the ids. Documents without a group or an
     id are left out. A document's place is found in two levels, buckets of ids and documents in them, so a large group isn't sorted by one task."""
-    d = spread(docs.select(group, "doc_id", "text")).filter(F.col(group).isNotNull() & F.col("doc_id").isNotNull()).select(group, "doc_id", F.floor(F.col("doc_id") / bucket).alias("bucket"), F.concat(F.coalesce(words("text"), F.array().cast("array<string>")), F.array(F.lit(eos))).alias("w"))
+    d = spread(docs.select(group, "doc_id", "text")).filter(F.col(group).isNotNull() & F.col("doc_id").isNotNull()).select(group, "doc_id", bucket_of(docs, "doc_id", bucket).alias("bucket"), F.concat(F.coalesce(tokens(F.col("text")), F.array().cast("array<string>")), F.array(F.lit(eos))).alias("w"))
     sums = d.groupBy(group, "bucket").agg(F.sum(F.size("w").cast("bigint")).alias("n"))
     at = sums.select(group, "bucket", F.coalesce(F.sum("n").over(Window.partitionBy(group).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     end = F.col("before") + F.sum(F.size("w").cast("bigint")).over(Window.partitionBy(group, "bucket").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0))

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions.text import hash_number, normalize_text
 from corpusloom.functions.wordhash import hashed_words, norm, run_names
-from corpusloom.operators.ranking import top_k
-from corpusloom.runtime import small_batches, spread
+from corpusloom.operators.ranking import chosen, top_k
+from corpusloom.runtime import bucket_of, cut, small_batches, spread
 
 #: Passages whose runs are broadcast at once.
 MAX_KEYS = 2_000_000
@@ -85,7 +85,8 @@ def containment(docs: DataFrame, passages: DataFrame, k: int = 8) -> DataFrame:
         found = spread(docs.select("doc_id", "text")).select(F.col("doc_id").cast("bigint").alias("doc_id"), norm("text").alias("t")).filter("doc_id is not null").mapInArrow(run, "query_id bigint, doc_id bigint")
         out = found if out is None else out.unionByName(found)
     texts = passages.select(F.col("item_id").alias("query_id"), F.col("text").alias("p_text"))
-    pairs = out.distinct().join(docs.select("doc_id", "text"), "doc_id").join(texts, "query_id").filter(F.contains("text", "p_text")).select("query_id", "doc_id")
+    pairs = cut(out.distinct())  # few: their texts alone are moved
+    pairs = pairs.join(chosen(docs.select("doc_id", "text"), pairs, "doc_id"), "doc_id").join(texts, "query_id").filter(F.contains("text", "p_text")).select("query_id", "doc_id")
     short = texts.filter("query_id is not null and p_text is not null").filter(F.size(F.split(norm("p_text"), " ")) <= k)
     n, chars = short.agg(F.count("*"), F.sum(F.length("p_text"))).first()
     slices = -(-max(chars or 0, n) // MAX_CHARS)
@@ -130,8 +131,7 @@ def hash_split(df: DataFrame, key: str, test: float, seed: int = 42) -> DataFram
 
 def positional_split(df: DataFrame, key: str, percent: int, bucket: int = 100_000) -> DataFrame:
     """The first p percent of rows (by key) are 'train'. Places are found in two levels, buckets of keys and rows in them."""
-    b = F.floor(F.col(key) / bucket)
-    rows = df.withColumn("__b", b)
+    rows = df.withColumn("__b", bucket_of(df, key, bucket))
     sizes = rows.groupBy("__b").agg(F.count("*").alias("__n"))
     at = sizes.select("__b", F.coalesce(F.sum("__n").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__0"), F.sum("__n").over(Window.partitionBy()).alias("__all"))  # one row per bucket
     place = F.col("__0") + F.row_number().over(Window.partitionBy("__b").orderBy(key))

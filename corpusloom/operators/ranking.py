@@ -11,7 +11,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import words
-from corpusloom.runtime import spread
+from corpusloom.runtime import cut
+
+#: Ids that are broadcast to a scan at most.
+BROADCAST_IDS = 1_000_000
 
 
 class TopK:
@@ -103,9 +106,17 @@ def overlap_score(query: Column, document: Column) -> Column:
     return F.coalesce(F.try_divide(both.cast("double"), F.size(q) + F.size(d) - both), F.lit(0.0))
 
 
+def chosen(docs: DataFrame, pairs: DataFrame, key: str) -> DataFrame:
+    """Rows of docs whose key is in the pairs (a table that is computed already): up to BROADCAST_IDS ids are broadcast to the scan, so other texts aren't moved."""
+    ids = pairs.select(key).distinct()
+    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, key, "left_semi")
+
+
 def rerank(pairs: DataFrame, queries: DataFrame, docs: DataFrame, k: int | None = None, scorer: Callable[[Column, Column], Column] = overlap_score, query_id: str = "item_id") -> DataFrame:
     """Candidates by a pair score, ties by id. scorer takes the columns of query and document texts (a Pandas UDF for a model)."""
-    both = pairs.join(queries.select(F.col(query_id).alias("query_id"), F.col("text").alias("q_text")), "query_id").join(spread(docs.select("doc_id", F.col("text").alias("d_text"))), "doc_id")
+    pairs = cut(pairs)
+    texts = chosen(docs.select("doc_id", F.col("text").alias("d_text")), pairs, "doc_id")
+    both = pairs.join(queries.select(F.col(query_id).alias("query_id"), F.col("text").alias("q_text")), "query_id").join(texts, "doc_id")
     scored = both.select("query_id", "doc_id", F.round(scorer(F.col("q_text"), F.col("d_text")), 6).alias("score"))
     return top_k(scored, k, ["query_id"], [F.desc("score"), F.asc("doc_id")])
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -13,10 +15,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a folder of our own where none is set (tests)."""
+    """The folder all executors share: spark.checkpoint.dir, or, for a local master only (tests), a folder of our own where none is set."""
     jsc = spark.sparkContext._jsc.sc()
     if (d := spark.conf.get("spark.checkpoint.dir", None)) is None:
-        d = jsc.getCheckpointDir().get() if jsc.getCheckpointDir().isDefined() else tempfile.mkdtemp(prefix="loom-")
+        if jsc.getCheckpointDir().isDefined():
+            d = jsc.getCheckpointDir().get()
+        elif re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            d = tempfile.mkdtemp(prefix="loom-")
+        else:
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if not jsc.getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(d)
     return d
@@ -51,3 +58,11 @@ def spread(df: DataFrame) -> DataFrame:
         return df
     n = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(n) if plan.toRdd().getNumPartitions() < n else df
+
+
+def bucket_of(df: DataFrame, key: str, rows: int = 100_000) -> Column:
+    """A whole number that never falls as the key rises, with about so many rows each if keys are spread evenly (dense ids, or hashed ones of
+    64 bits): for numbering in two levels. Runs a job for the key's bounds."""
+    low, high, n = df.agg(F.min(key).cast("double"), F.max(key).cast("double"), F.count(key)).first()
+    width = max(1.0, ((high or 0.0) - (low or 0.0)) / max(1, n // rows))
+    return F.floor((F.col(key).cast("double") - F.lit(low or 0.0)) / F.lit(width))

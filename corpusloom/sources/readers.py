@@ -25,8 +25,8 @@ def json_lines(spark: SparkSession, path: str, schema: str | T.StructType) -> Da
 
 
 def shards(spark: SparkSession, folder: str, schema: str) -> DataFrame:
-    """Rows of all JSON-lines files of a folder with the file's name."""
-    return spark.read.schema(schema).json(f"{folder}/*.jsonl").select("*", F.element_at(F.split("_metadata.file_name", "/"), -1).alias("shard"))
+    """Rows of all JSON-lines files of a folder with the file's name; a line that isn't an object of the schema is an error."""
+    return spark.read.schema(schema).option("mode", "FAILFAST").json(f"{folder}/*.jsonl").select("*", F.element_at(F.split("_metadata.file_name", "/"), -1).alias("shard"))
 
 
 def qrels(spark: SparkSession, path: str, header: Sequence[str] = ("query_id", "doc_id", "relevance"), least: int = 1) -> DataFrame:
@@ -78,14 +78,14 @@ def tab_pairs(spark: SparkSession, path: str, kind: str) -> DataFrame:
 
 
 def aligned_json(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """JSON-lines files with different columns as one table; a column that a file lacks is null there."""
-    return align(*[spark.read.json(p) for p in paths])
+    """JSON-lines files with different columns as one table; a column that a file lacks is null there, a broken line is an error."""
+    return align(*[spark.read.option("mode", "FAILFAST").json(p) for p in paths])
 
 
 def text_folder(spark: SparkSession, folder: str, kind: str = "txt", streaming: bool = False) -> DataFrame:
     """Lines (txt and other kinds) or `text` fields (jsonl) of all files under a folder, non-blank; streaming gives an unbounded table."""
     reader = (spark.readStream if streaming else spark.read).option("recursiveFileLookup", "true").option("pathGlobFilter", f"*.{kind}")
-    rows = reader.schema("value string").text(folder) if kind != "jsonl" else reader.schema("text string").json(folder)
+    rows = reader.schema("value string").text(folder) if kind != "jsonl" else reader.schema("text string").option("mode", "FAILFAST").json(folder)
     return rows.toDF("text").filter(F.trim("text") != "")
 
 

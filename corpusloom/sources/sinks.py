@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Sequence
-from pathlib import Path
 
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,20 +48,28 @@ def manifest_violations(recorded: DataFrame, now: DataFrame) -> DataFrame:
     return a.join(b, "name", "full_outer").filter(~F.col("a").eqNullSafe(F.col("b"))).select("name")
 
 
-def file_digest(path: str) -> str:
+def _digest(fs: pafs.FileSystem, path: str) -> str:
     h = hashlib.sha256()
-    with Path(path).open("rb") as f:
+    with fs.open_input_stream(path, compression=None) as f:
         while piece := f.read(1 << 20):
             h.update(piece)
     return h.hexdigest()
 
 
+def file_digest(path: str) -> str:
+    """Digest of a file on any storage that a path or URI can name."""
+    return _digest(*pafs.FileSystem.from_uri(str(path)))
+
+
 def folder_digest(path: str) -> str:
     """Digest of the relative names (with their lengths) and digests of all files of a folder, in name order."""
     h = hashlib.sha256()
-    for p in sorted(x for x in Path(path).rglob("*") if x.is_file()):
-        name = p.relative_to(path).as_posix().encode()
-        h.update(len(name).to_bytes(8, "big") + name + bytes.fromhex(file_digest(str(p))))
+    fs, root = pafs.FileSystem.from_uri(str(path))
+    root = root.rstrip("/")
+    files = [f.path for f in fs.get_file_info(pafs.FileSelector(root, recursive=True)) if f.is_file]
+    for p in sorted(files, key=lambda x: x[len(root) + 1 :].split("/")):
+        name = p[len(root) + 1 :].encode()
+        h.update(len(name).to_bytes(8, "big") + name + bytes.fromhex(_digest(fs, p)))
     return h.hexdigest()
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from corpusloom.functions.text import content_id
+from corpusloom.operators.ranking import top_k
 
 
 def _late(df: DataFrame, ts: str, late: str | None) -> DataFrame:
@@ -72,6 +73,21 @@ def trajectories(actions: DataFrame, max_turns: int = 4) -> DataFrame:
 
 
 def smallest(rows: DataFrame, shard: str, key: str, k: int, seed: int = 42) -> DataFrame:
-    """Rows (shard, keys): the k keys of each shard with the least seeded hash so far, a sample of a stream in one pass."""
+    """Rows (shard, keys): the k keys of each shard with the least seeded hash so far, a sample of a stream in one pass. The state of a stream is k keys a shard;
+    of a bounded table the k first are kept before and after the shuffle."""
     h = F.struct(F.sha2(F.concat(F.lit(f"{seed}:"), F.col(shard), F.lit(":"), F.col(key).cast("string")), 256).alias("h"), F.col(key).alias("key"))
-    return rows.withColumn("h", h).groupBy(shard).agg(F.slice(F.array_sort(F.collect_set("h")), 1, k).alias("s")).select(shard, F.transform("s", lambda x: x["key"]).alias("keys"))
+    named = rows.select(F.col(shard).alias("shard"), h.alias("h")).select("shard", "h.h", "h.key")
+    kind = rows.schema[key].dataType.simpleString()
+    if not rows.isStreaming:
+        first = top_k(named.distinct(), k, ["shard"], [F.asc("h"), F.asc("key")])
+        return first.groupBy("shard").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "key"))), lambda x: x["key"]).alias("keys")).withColumnRenamed("shard", shard)
+
+    def update(group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        best = dict(zip(*state.get, strict=True)) if state.exists else {}
+        for pdf in batches:
+            best |= dict(zip(pdf["h"], pdf["key"], strict=True))
+            best = dict(sorted(best.items())[:k])
+        state.update((list(best), list(best.values())))
+        yield pd.DataFrame({shard: [group[0]], "keys": [list(best.values())]})
+
+    return named.groupBy("shard").applyInPandasWithState(update, f"`{shard}` {rows.schema[shard].dataType.simpleString()}, keys array<{kind}>", f"h array<string>, keys array<{kind}>", "update", GroupStateTimeout.NoTimeout)
