@@ -199,3 +199,53 @@ def link_kept(url: str | Column) -> Column:
 def hash_number(key: Column, start: int = 1, digits: int = 8) -> Column:
     """Whole number from hex digits of a key's SHA-256; the same in every engine."""
     return F.conv(F.substring(F.sha2(key.cast("string"), 256), start, digits), 16, 10).cast("bigint")
+
+
+def joined_text(title: str | Column, text: str | Column, separator: str | None = None) -> Column:
+    """Title and text as one input of an encoder: with the model's separator token, or as two sentences where it has none."""
+    if separator is not None:
+        return F.concat(col(title), F.lit(separator), col(text))
+    return title_and_text(title, text)
+
+
+def prefixed(c: str | Column, kind: str, prefixes: dict[str, str]) -> Column:
+    """A text after its model's prefix for questions or passages ('query', 'passage'; none: as it is)."""
+    return F.concat(F.lit(prefixes.get(kind, "")), col(c))
+
+
+def titled_form(c: str | Column) -> Column:
+    """The reverse of quoted_title: '"t"', line end, x as '(Title: t) x'."""
+    return F.regexp_replace(col(c), r'(?s)^"([^\n]*)"\n(.*)$', "(Title: $1) $2")
+
+
+def snippet_context(c: str | Column, pieces: Column) -> Column:
+    """Lines of a page that hold one of a snippet's pieces, each once, in the page's order."""
+    lines = F.array_distinct(F.filter(F.transform(F.split(col(c), "\n"), lambda x: F.trim(x)), lambda x: x != ""))
+    return F.array_join(F.filter(lines, lambda x: F.exists(pieces, lambda p: F.contains(x, p))), "\n")
+
+
+def numbered_documents(items: Column) -> Column:
+    """'Document [i] (Title: t) c' of an array<struct<title, content>>, from 0, blanks collapsed, one a line."""
+    one = lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))
+    return F.array_join(F.transform(items, lambda x, i: F.concat(F.lit("Document ["), i.cast("string"), F.lit("] (Title: "), one(x["title"]), F.lit(") "), one(x["content"]))), "\n")
+
+
+def first_tokens(c: str | Column, n: int) -> Column:
+    """The first n blank-separated tokens, single blanks between them."""
+    return F.array_join(F.slice(F.filter(F.split(col(c), r"\s+"), lambda w: w != ""), 1, n), " ")
+
+
+def keyword_boost(question: Column, document: Column, keywords: Column, weight: float = 0.1) -> Column:
+    """Addition to a score for each keyword that both texts have."""
+    return F.lit(weight) * F.size(F.filter(F.array_distinct(keywords), lambda k: F.contains(question, k) & F.contains(document, k)))
+
+
+def after_mark(c: str | Column, mark: str = "Answer:") -> Column:
+    """What follows the last mark, trimmed; the whole text where there is none."""
+    return F.trim(F.substring_index(col(c), mark, -1))
+
+
+def reply_items(c: str | Column) -> Column:
+    """Items of a numbered reply: pieces between blank lines without 'n.' before them."""
+    pieces = F.filter(F.transform(F.split(col(c), r"\n\s*\n"), lambda x: F.trim(x)), lambda x: x != "")
+    return F.transform(pieces, lambda x: F.trim(F.regexp_replace(x, r"^\d+\.", "")))

@@ -59,3 +59,31 @@ def log_prob(logits: Column, token: Column) -> Column:
     """Log-probability of the token with this number (from 0)."""
     m = F.array_max(logits)
     return F.element_at(logits, token + 1) - m - F.log(_sum(F.transform(logits, lambda x: F.exp(x - m))))
+
+
+def pooled(states: Column, mask: Column, kind: str = "mean", pooler: Column | None = None) -> Column:
+    """One vector of an array of vectors: mean over the mask, the first ('cls'), or the model's own ('pooler')."""
+    if kind == "mean":
+        return mean_pool(states, mask)
+    if kind == "cls":
+        return F.transform(F.element_at(states, 1), lambda x: x.cast("double"))
+    if kind == "pooler" and pooler is not None:
+        return F.transform(pooler, lambda x: x.cast("double"))
+    raise ValueError(kind)
+
+
+def tempered(logits: Column, temperature: float) -> Column:
+    if temperature <= 0:
+        raise ValueError("temperature must be positive")
+    return F.transform(logits, lambda x: x / F.lit(temperature))
+
+
+def cosine_rate(step: Column, warm: int, total: int, least: float = 0.0, cycles: float = 0.5) -> Column:
+    """Factor of a learning rate: a linear rise over `warm` steps, then a cosine from 1 to `least`."""
+    share = (step - F.lit(warm)) / F.lit(float(max(1, total - warm)))
+    wave = (F.cos(F.lit(3.141592653589793 * cycles * 2) * share) + 1) / 2
+    return F.when(step < warm, least + (1 - least) * step / F.lit(float(max(1, warm)))).otherwise(F.greatest(F.lit(0.0), F.lit(least) + (1 - least) * wave))
+
+
+def constant_rate(step: Column, warm: int) -> Column:
+    return F.least(F.lit(1.0), step / F.lit(float(max(1, warm)))) if warm else F.lit(1.0)

@@ -116,7 +116,7 @@ def strict_pairs(conversations: Column) -> Column:
     nothing counts; turns out of turn are skipped; null unless an even number of at least two texts is left."""
     known = lambda t: t["from"].isin("human", "user", "gpt", "assistant")
     is_user = lambda t: t["from"].isin("human", "user")
-    src = F.when(is_user(F.get(conversations, F.lit(0))), conversations).otherwise(F.slice(conversations, 2, 1_000_000))
+    src = F.when(is_user(F.get(conversations, F.lit(0))), conversations).otherwise(F.slice(conversations, F.lit(2), F.greatest(F.lit(0), F.size(conversations) - 1)))
     stop = F.array_position(F.transform(src, lambda t: known(t)), False)
     seen = F.when(stop > 0, F.slice(src, F.lit(1), (stop - 1).cast("int"))).otherwise(src)
     kept = F.filter(seen, lambda t, i: F.when(i % 2 == 0, is_user(t)).otherwise(~is_user(t)))
@@ -174,3 +174,20 @@ def render(pairs: Column, template: str, system: Column | None = None) -> Column
     head = F.coalesce(F.when(system != "", system), F.lit(own)) if system is not None else F.lit(own)
     head = F.when(head != "", F.concat(head, F.lit(sep))).otherwise(F.lit(""))
     return F.flatten(F.transform(pairs, lambda p, i: F.array(F.concat(F.when(i == 0, head).otherwise(F.lit(sep)), F.replace(F.lit(prompt), F.lit("{query}"), p["user"])), p["assistant"])))
+
+
+def bounded_prompts(df: DataFrame, tokens_of: Column, least: int, most: int) -> DataFrame:
+    """Rows whose prompt has at least `least` and at most `most` tokens."""
+    return df.filter(F.size(tokens_of).between(least, most))
+
+
+def preference_ids(prompt: Column, chosen: Column, rejected: Column, eos: int, size: int, pad: int = 0) -> tuple[Column, Column, Column, Column]:
+    """Token ids of prompt and answer with an end mark, padded or cut to `size`, and their masks: for the chosen and the rejected one."""
+    row = lambda a: F.concat(prompt, a, F.array(F.lit(eos)))
+    mask = lambda a: F.transform(F.sequence(F.lit(1), F.lit(size)), lambda i: (i <= F.size(row(a))).cast("int"))
+    return tokens.pad(row(chosen), size, pad), mask(chosen), tokens.pad(row(rejected), size, pad), mask(rejected)
+
+
+def fitting_pairs(df: DataFrame, prompt: Column, chosen: Column, rejected: Column, limit: int) -> DataFrame:
+    """Preference rows whose prompt with either answer (arrays of tokens) is within the limit."""
+    return df.filter((F.size(prompt) + F.size(chosen) <= limit) & (F.size(prompt) + F.size(rejected) <= limit))

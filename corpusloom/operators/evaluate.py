@@ -85,3 +85,15 @@ def lineage_differences(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> Data
     both = left.crossJoin(F.broadcast(b.select(*[F.col(k).cast("string").alias(f"b_{k}") for k in keys])))  # one row each
     rows = F.explode(F.array(*[F.struct(F.lit(k).alias("key"), F.col(f"a_{k}").alias("left"), F.col(f"b_{k}").alias("right")) for k in keys]))
     return both.select(rows.alias("r")).select("r.*").filter(~F.col("left").eqNullSafe(F.col("right")))
+
+
+def relevant_counts(qrels: DataFrame) -> DataFrame:
+    """One row (n_queries, mean, median): relevant documents a question."""
+    per = qrels.groupBy("query_id").agg(F.count("*").alias("n"))
+    return per.agg(F.count("*").alias("n_queries"), F.round(F.avg("n"), 6).alias("mean"), F.round(F.median("n"), 6).alias("median"))
+
+
+def split_conflicts(ranking: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id): questions whose split differs between a ranking and the question table, or that the table lacks."""
+    both = ranking.select("query_id", "split").distinct().join(queries.select("query_id", F.col("split").alias("own")), "query_id", "left")
+    return both.filter(~F.col("split").eqNullSafe(F.col("own"))).select("query_id").distinct()

@@ -128,5 +128,45 @@ def perplexity(df: DataFrame, nll: str, n: str) -> DataFrame:
 
 def token_accuracy(preds: Column, labels: Column, ignore: int = -100) -> Column:
     """Share of labels that the prediction one place before has; ignored labels don't count."""
-    pairs = F.filter(F.arrays_zip(F.slice(preds, F.lit(1), F.size(preds) - 1).alias("p"), F.slice(labels, 2, 1_000_000).alias("l")), lambda z: z["l"] != ignore)
+    pairs = F.filter(F.arrays_zip(F.slice(preds, F.lit(1), F.size(preds) - 1).alias("p"), F.slice(labels, F.lit(2), F.greatest(F.lit(0), F.size(labels) - 1)).alias("l")), lambda z: z["l"] != ignore)
     return F.try_divide(F.size(F.filter(pairs, lambda z: z["p"] == z["l"])).cast("double"), F.size(pairs))
+
+
+def prediction_errors(df: DataFrame, pred: str, label: str) -> DataFrame:
+    """One row (mse, mae)."""
+    d = F.col(pred) - F.col(label)
+    return df.agg(F.round(F.avg(d * d), 6).alias("mse"), F.round(F.avg(F.abs(d)), 6).alias("mae"))
+
+
+def token_metrics(df: DataFrame, columns: dict[str, str], mask: str) -> DataFrame:
+    """One row: mean, greatest and least of each token column where the mask is 1, under its name."""
+    on = {n: F.when(F.col(mask) == 1, F.col(c)) for n, c in columns.items()}
+    return df.agg(*[F.round(f(x), 6).alias(f"{n}_{k}") for n, x in on.items() for k, f in (("mean", F.avg), ("max", F.max), ("min", F.min))])
+
+
+def timing_metrics(df: DataFrame, section: str, seconds: str, n_tokens: str) -> DataFrame:
+    """(section, seconds, ms_per_token): of each section the sums' ratio."""
+    return df.groupBy(section).agg(F.round(F.sum(seconds), 6).alias("seconds"), F.round(F.try_divide(F.sum(seconds) * 1000, F.sum(n_tokens)), 6).alias("ms_per_token"))
+
+
+def reduced(df: DataFrame, name: str, value: str) -> DataFrame:
+    """Mean of each metric's values."""
+    return df.groupBy(name).agg(F.round(F.avg(value), 6).alias("mean"))
+
+
+class FixedKL:
+    """A coefficient that stays."""
+
+    def __init__(self, value: float) -> None:
+        self.value = value
+
+    def update(self, current: float, n: int) -> float:
+        return self.value
+
+
+def kl_controller(kind: str, value: float, target: float | None = None, horizon: int | None = None) -> FixedKL | AdaptiveKL:
+    if kind == "fixed":
+        return FixedKL(value)
+    if kind == "adaptive" and target and horizon:
+        return AdaptiveKL(value, target, horizon)
+    raise ValueError(f"{kind}: fixed, or adaptive with a target and a horizon")

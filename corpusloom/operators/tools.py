@@ -126,7 +126,7 @@ def react_turns(messages: Column, with_tools: bool = False) -> Column:
     results are written into the assistant's turn before them; turns of one role in a row are joined. A function result without
     an assistant's turn before it, an answer at the start or an unknown role is an error; a leading system message is dropped."""
     turn = T.ArrayType(T.StructType([T.StructField("role", T.StringType()), T.StructField("content", T.StringType())]))
-    msgs = F.when(F.get(messages, F.lit(0))["role"] == "system", F.slice(messages, 2, 1_000_000)).otherwise(messages)
+    msgs = F.when(F.get(messages, F.lit(0))["role"] == "system", F.slice(messages, F.lit(2), F.greatest(F.lit(0), F.size(messages) - 1))).otherwise(messages)
     clean = lambda c: F.rtrim(F.regexp_replace(F.coalesce(c, F.lit("")), r"^\n+", ""))
 
     def step(acc: Column, m: Column) -> Column:
