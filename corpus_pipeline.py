@@ -13,27 +13,42 @@ from corpusloom.llm.common import table, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a sentence that the string-kernel machine rejects go."""
+    """Documents with a sentence that the string-kernel machine rejects go.
+
+    Rows without a text, or with an empty one, stay; long texts are read whole; repeated rows are judged alike; a score that equals the threshold isn't over it;
+    columns of any name and an empty table pass through."""
     return toxicity.without_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-copies stays, the one with the least id."""
+    """One document of each group of near-copies stays, the one with the least id.
+
+    Rows without an id or a word stay; long texts are read whole; rows that repeat an id stay or go together; of equal texts the least id
+    is kept; columns of any name and an empty table pass through."""
     return simhash.without_copies(docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that share 13 consecutive words with a benchmark item go."""
+    """Documents that share 13 consecutive words with a benchmark item go.
+
+    Rows without a text match nothing and stay, as do those without an id, which can't be named; long texts are read whole; rows that repeat an id go if
+    one of them is affected; items under 13 words match nothing; columns of any name and an empty table pass through."""
     return decontam.without_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources weigh the square root of their size; a document comes as often as it was drawn."""
+    """Sources weigh the square root of their size; a document comes as often as it was drawn.
+
+    Rows without a source are a source of their own, those without an id come last in theirs; texts aren't looked at but to order ties;
+    repeated rows are drawn one by one; columns of any name pass through; an empty table stays empty."""
     return mixing.mix_sources(docs, copy_col=None)
 
 
 def assign_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Adds the shard of the document's id; copies of one document share a shard."""
+    """Adds the shard of the document's id; copies of one document share a shard.
+
+    A row without an id has no shard (null); a column that is already named shard is replaced, all others pass through; texts aren't looked at; an empty
+    table stays empty."""
     return sharding.shard(docs)
 
 
