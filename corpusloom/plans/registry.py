@@ -23,4 +23,4 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-from corpusloom.plans import corpora, dialogs, graphs, more, retrieval, training  # noqa: E402, F401
+from corpusloom.plans import corpora, dialogs, graphs, more, retrieval, stored, training  # noqa: E402, F401
