@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -100,6 +101,19 @@ def upsert(store: DataFrame, texts: DataFrame, encode: Callable[[Column], Column
     return store.select("hash_id", "text", "embedding").unionByName(new.withColumn("embedding", encode(F.col("text"))))
 
 
+def build_index(texts: DataFrame, path: str, encode: Callable[[Column], Column], namespace: str = "") -> DataFrame:
+    """A store (hash_id, text, embedding) as Parquet at a path, which is made or extended: only texts that it lacks are encoded, and appended."""
+    spark = texts.sparkSession
+    new = texts.select(content_id("text", namespace).alias("hash_id"), "text").filter("hash_id is not null").dropDuplicates(["hash_id"])
+    try:
+        new = new.join(spark.read.parquet(path).select("hash_id"), "hash_id", "left_anti")
+    except AnalysisException as e:  # a new store
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+    new.withColumn("embedding", encode(F.col("text"))).write.mode("append").parquet(path)
+    return spark.read.parquet(path)
+
+
 def lsh_search(corpus: DataFrame, queries: DataFrame, k: int = 10, bucket: float = 0.5, tables: int = 8, id_col: str = "vec_id") -> DataFrame:
     """Approximate L2 search by random projections: only vectors that share a bucket in one of the tables are compared, at
     any distance. Queries that meet fewer than k vectors in their buckets are searched exactly."""

@@ -5,6 +5,8 @@ are relevant to each other."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -200,7 +202,7 @@ def metric_rollup(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.metrics(near(spark, d), label_qrels(spark, d), by=by).select("label", "n_queries", "recall_10")
 
 
-@query()
+@query(f"""WITH {lexical.oracle(3)} SELECT query_id, CAST(to_json(list({{'document': {{'doc_id': doc_id, 'contents': text}}, 'score': score}} ORDER BY rank)) AS VARCHAR) AS result FROM bm25 JOIN documents USING (doc_id) GROUP BY 1""")
 def service_response(spark: SparkSession, d: str) -> DataFrame:
     return ranking.response(bm25(spark, d, 3), table(spark, d, "documents"))
 
@@ -211,6 +213,20 @@ def lsh_topk(spark: SparkSession, d: str) -> DataFrame:
     return dense.lsh_search(e, e, K)
 
 
+@query("SELECT count(*) AS n, count(DISTINCT text) AS n_stored, 16 AS width, count(DISTINCT text) AS n_unit FROM documents WHERE regexp_matches(text, '[a-zA-Z]')")
+def dense_index_build(spark: SparkSession, d: str) -> DataFrame:
+    """A stored index in two runs: the second encodes only what the first lacks; all vectors have unit length."""
+    from corpusloom.functions.text import words
+
+    path = f"{shared_dir(spark).rstrip('/')}/dense-{uuid.uuid4().hex}"
+    docs = table(spark, d, "documents").filter(F.rlike("text", F.lit("[a-zA-Z]")))
+    encode = lambda c: dense.hashed_embedding(words(c), 16)
+    dense.build_index(docs.filter("doc_id % 3 = 0"), path, encode)
+    index = dense.build_index(docs, path, encode)
+    size = F.sqrt(vector.dot(F.col("embedding"), F.col("embedding")))
+    return index.agg(F.count("*").alias("n_stored"), F.max(F.size("embedding")).alias("width"), F.count(F.when((size > 0.999) & (size < 1.001), 1)).alias("n_unit")).crossJoin(docs.agg(F.count("*").alias("n")))  # one row
+
+
 @query("""SELECT hash_id, text FROM (SELECT 'd-' || md5(text) AS hash_id, min(text) AS text FROM documents GROUP BY 1)""")
 def embedding_upsert(spark: SparkSession, d: str) -> DataFrame:
     """A store of the documents of even ids gets all documents; only new texts are encoded."""
