@@ -74,7 +74,7 @@ class _Codes:
     """Character codes of a word given as UTF-8 bytes: digits are one character, all others themselves."""
 
     def __getitem__(self, b: np.ndarray) -> np.ndarray:
-        return coded(code_points(np.asarray(b, np.uint8))[0])
+        return coded(np.frombuffer(np.asarray(b, np.uint8).tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32))
 
 
 def coded(c: np.ndarray) -> np.ndarray:
@@ -83,6 +83,13 @@ def coded(c: np.ndarray) -> np.ndarray:
 
 def _tables() -> tuple[np.ndarray, _Codes]:
     """Class of each character of the basic plane (0 dropped, 1 character, 2 blank, 3 of a script without blanks), and the coder."""
+    cache = process_cache("toxicity")
+    if "made" not in cache:
+        cache["made"] = _made_tables()
+    return cache["made"]
+
+
+def _made_tables() -> tuple[np.ndarray, _Codes]:
     kind = np.zeros(1 << 16, np.uint8)
     for c in range(1 << 16):
         k = unicodedata.category(chr(c))[0]
@@ -169,6 +176,8 @@ def gram_names(codes: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _norms(t: np.ndarray, lam: np.ndarray) -> np.ndarray:
     """Norm of each row in feature space: equal subsequences of a word are one feature."""
+    if t.shape[1] == 1:
+        return np.full(len(t), lam[0])
     order = np.argsort(t, axis=1, kind="stable")
     ts, ls = np.take_along_axis(t, order, 1), lam[order]
     new = np.ones(ts.shape, bool)
