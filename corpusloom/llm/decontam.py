@@ -4,14 +4,13 @@ Every shard (a run of documents within a task, about SHARD_WORDS words) gets a s
 are sorted by their first three words, then ranks are doubled, only within ties, until every suffix is unique or the
 sorted depth passes the longest test item; a deeper order can't be told apart by any test suffix. Every suffix of every
 test item is binary-searched in every shard for the range of suffixes that share at least MIN_WORDS words with it, and
-each occurrence is extended to its longest verbatim match. Training text is never shuffled; the test set is broadcast
-after its size is checked, and is otherwise searched in slices of that size.
+each occurrence is extended to its longest verbatim match. Training text is never shuffled; the test set is broadcast in
+slices of a bounded size, of which the driver and each worker hold one at a time; all are searched in the one array of a shard.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import reduce
+from collections.abc import Iterable, Iterator
 from types import SimpleNamespace
 
 import numpy as np
@@ -25,7 +24,7 @@ from corpusloom.runtime import small_batches
 MIN_WORDS = 13
 SHARD_WORDS = 1 << 20
 #: Words of test items that are broadcast at once.
-SLICE_WORDS = 4_000_000
+SLICE_WORDS = 2_000_000
 
 
 def suffix_array(ids: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -93,75 +92,93 @@ def search(ids: np.ndarray, sa: np.ndarray, first: np.ndarray, test: np.ndarray,
 
 
 class TestSet:
-    """Test items as one sequence of word numbers (1 and up), each item followed by 0."""
+    """Test items as one sequence of words' hashes, each item followed by a gap, and the places where a match can begin."""
 
     def __init__(self, items: list[tuple[int, np.ndarray]], min_words: int) -> None:
         items = [(i, h) for i, h in items if len(h) >= min_words]
-        self.vocab = np.unique(np.concatenate([h for _, h in items])) if items else np.zeros(0, np.uint64)
-        parts, starts, self.item, at = [], [], [], 0
-        for i, h in items:
-            parts += [np.searchsorted(self.vocab, h) + 1, [0]]
-            starts.append(np.arange(at, at + len(h) - min_words + 1))
-            self.item.append(np.full(len(h) - min_words + 1, i))
-            at += len(h) + 1
-        self.words = np.concatenate([*parts, np.zeros(3, np.int64)]).astype(np.int64) if parts else np.zeros(3, np.int64)
-        self.starts = np.concatenate(starts) if starts else np.zeros(0, np.int64)
-        self.begin = np.concatenate([np.full(len(s), s[0]) for s in starts]) if starts else np.zeros(0, np.int64)
-        self.item = np.concatenate(self.item) if items else np.zeros(0, np.int64)
-        self.depth = max((len(h) for _, h in items), default=0)
-
-
-def shard_matches(h: np.ndarray, at: np.ndarray, test: TestSet, min_words: int) -> tuple[np.ndarray, ...]:
+        sizes = np.array([len(h) for _, h in items], np.int64)
+        first = np.concatenate([[0], np.cumsum(sizes + 1)])[: len(items)]
+        self.gap = np.zeros(int((sizes + 1).sum()) + 3, bool)
+        self.gap[first + sizes] = self.gap[-3:] = True
+        self.hash = np.zeros(len(self.gap), np.uint64)
+        self.hash[~self.gap] = np.concatenate([h for _, h in items]) if items else 0
+        n = sizes - min_words + 1
+        self.begin = np.repeat(first, n)
+        self.starts = self.begin + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        self.item = np.repeat(np.array([i for i, _ in items], np.int64), n)
+
+
+def _numbered(t: SimpleNamespace | TestSet, words: np.ndarray) -> np.ndarray:
+    """The test's words by their numbers among a shard's (from 1); a word that the shard lacks has one that it doesn't use, a gap 0."""
+    k = np.minimum(np.searchsorted(words, t.hash), max(0, len(words) - 1))
+    return np.where(t.gap, 0, np.where(words[k] == t.hash, k + 1, len(words) + 1))
+
+
+def shard_matches(h: np.ndarray, at: np.ndarray, tests: Iterable, min_words: int, depth: int) -> tuple[np.ndarray, ...]:
     """Of one shard (hashes of words, begins of documents): document, its matched word, item, item's matched word and
-    length of the longest match for each (document, item), the first where several are longest."""
+    length of the longest match for each (document, item), the first where several are longest. The shard has one suffix array,
+    in which all slices of the test set are searched one after the other."""
     n_docs = len(at) - 1
     none = (np.zeros(0, np.int64),) * 5
-    if not len(h) or not len(test.starts):
+    if not len(h):
         return none
-    # numbers of words: those of the test vocabulary come first
     words, inv = np.unique(h, return_inverse=True)
-    k = np.minimum(np.searchsorted(test.vocab, words), len(test.vocab) - 1)
-    number = np.where(test.vocab[k] == words, k + 1, np.arange(len(words)) + len(test.vocab) + 1)
-    ids = np.zeros(len(h) + n_docs, np.int64)
-    ids[np.arange(len(h)) + np.repeat(np.arange(n_docs), np.diff(at))] = number[inv]
-    begins = at + np.arange(n_docs + 1)
-    if len(words) + len(test.vocab) + 2 >= 1 << 21:
+    if len(words) + 2 >= 1 << 21:
         half = n_docs // 2
         if half:  # too many words for the packed keys: two smaller shards
-            x, y = shard_matches(h[: at[half]], at[: half + 1], test, min_words), shard_matches(h[at[half] :], at[half:] - at[half], test, min_words)
+            x, y = shard_matches(h[: at[half]], at[: half + 1], tests, min_words, depth), shard_matches(h[at[half] :], at[half:] - at[half], tests, min_words, depth)
             return tuple(np.concatenate([p, q + half * (c == 0)]) for c, (p, q) in enumerate(zip(x, y, strict=True)))
-        ids = np.minimum(ids, len(test.vocab) + 1)  # one text with over two million different words: those that no item has become one
-    sa, first = suffix_array(ids, test.depth)
-    lo, hi = search(ids, sa, first, test.words, test.starts, min_words)
-    n = hi - lo
-    if not n.sum():
-        return none
-    which = np.repeat(np.arange(len(n)), n)
-    pos = sa[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)]
-    start = test.starts[which]
-    # only left ends of matches: those to the right of one are parts of it
-    inner = (start > test.begin[which]) & (pos > 0) & (ids[np.maximum(pos - 1, 0)] == test.words[np.maximum(start - 1, 0)])
-    which, pos, start = which[~inner], pos[~inner], start[~inner]
-    size = np.full(len(pos), min_words)
+        # one text with over two million different words: those that a slice lacks become one, in an array for each slice
+        parts = [none]
+        for t in tests:
+            own = words[np.isin(words, t.hash[~t.gap])]
+            k = np.minimum(np.searchsorted(own, h), max(0, len(own) - 1))
+            number = np.where(own[k] == h, k + 1, len(own) + 2) if len(own) else np.full(len(h), 2)
+            parts.append(_found(np.concatenate([number, [0]]), np.array([0, len(h) + 1]), [(t, own)], min_words, depth))
+        return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+    ids = np.zeros(len(h) + n_docs, np.int64)
+    ids[np.arange(len(h)) + np.repeat(np.arange(n_docs), np.diff(at))] = inv + 1
+    return _found(ids, at + np.arange(n_docs + 1), ((t, words) for t in tests), min_words, depth)
+
+
+def _found(ids: np.ndarray, begins: np.ndarray, tests: Iterable, min_words: int, depth: int) -> tuple[np.ndarray, ...]:
+    sa, first = suffix_array(ids, depth)
     text = np.concatenate([ids, [0]])
-    grow = np.arange(len(pos))
-    while len(grow):
-        a, b = text[np.minimum(pos[grow] + size[grow], len(ids))], test.words[start[grow] + size[grow]]
-        grow = grow[(a == b) & (b != 0)]
-        size[grow] += 1
-    doc = np.searchsorted(begins, pos, "right") - 1
-    order = np.lexsort((start, pos, -size, test.item[which], doc))
-    d, i = doc[order], test.item[which][order]
-    best = order[np.concatenate([[True], (d[1:] != d[:-1]) | (i[1:] != i[:-1])])]
-    return doc[best], pos[best] - begins[doc[best]], test.item[which[best]], start[best] - test.begin[which[best]], size[best]
-
-
-def _test_sets(bench: DataFrame, min_words: int) -> list[TestSet]:
+    out = [(np.zeros(0, np.int64),) * 5]
+    for t, words in tests:
+        if not len(t.starts):
+            continue
+        test = _numbered(t, words)
+        lo, hi = search(ids, sa, first, test, t.starts, min_words)
+        n = hi - lo
+        if not n.sum():
+            continue
+        which = np.repeat(np.arange(len(n)), n)
+        pos = sa[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)]
+        start = t.starts[which]
+        # only left ends of matches: those to the right of one are parts of it
+        inner = (start > t.begin[which]) & (pos > 0) & (ids[np.maximum(pos - 1, 0)] == test[np.maximum(start - 1, 0)])
+        which, pos, start = which[~inner], pos[~inner], start[~inner]
+        size = np.full(len(pos), min_words)
+        grow = np.arange(len(pos))
+        while len(grow):
+            a, b = text[np.minimum(pos[grow] + size[grow], len(ids))], test[start[grow] + size[grow]]
+            grow = grow[(a == b) & (b != 0)]
+            size[grow] += 1
+        doc = np.searchsorted(begins, pos, "right") - 1
+        order = np.lexsort((start, pos, -size, t.item[which], doc))
+        d, i = doc[order], t.item[which][order]
+        best = order[np.concatenate([[True], (d[1:] != d[:-1]) | (i[1:] != i[:-1])])] if len(order) else order
+        out.append((doc[best], pos[best] - begins[doc[best]], t.item[which[best]], start[best] - t.begin[which[best]], size[best]))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def _test_sets(bench: DataFrame, min_words: int) -> Iterator[tuple[TestSet, int]]:
+    """Slices of the test set, one at a time, and the length of their longest item."""
     words = bench.filter("item_id is not null").select("item_id", norm("text").alias("t")).withColumn("n", F.size(F.split("t", " ")))
     total = words.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     slices = -(-total // SLICE_WORDS) or 1
-    out = []
-    for k in range(slices):  # each slice fits in a broadcast, however large the test set
+    for k in range(slices):
         part = words.filter(F.pmod(F.xxhash64("item_id"), F.lit(slices)) == k).select("item_id", "t").toArrow()
         items: list[tuple[int, np.ndarray]] = []
         ids = part.column("item_id").to_pylist()
@@ -170,8 +187,7 @@ def _test_sets(bench: DataFrame, min_words: int) -> list[TestSet]:
             for a, z, h, at in hashed_words(chunk):
                 items += [(ids[row + i], h[at[i - a] : at[i - a + 1]]) for i in range(a, z)]
             row += len(chunk)
-        out.append(TestSet(sorted(items, key=lambda x: x[0]), min_words))
-    return out
+        yield TestSet(sorted(items, key=lambda x: x[0]), min_words), max((len(h) for _, h in items), default=0)
 
 
 def matches(docs: DataFrame, bench: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -180,13 +196,23 @@ def matches(docs: DataFrame, bench: DataFrame, min_words: int = MIN_WORDS) -> Da
     of equally long ones the first in the document. Words are compared without case and punctuation.
 
     Documents with null or empty texts match nothing; a null doc_id is kept as null; items without an id or
-    with fewer words than min_words are never matched; repeated rows are each reported; further columns are ignored; empty tables give an
-    empty result. A match never crosses the end of a document."""
-    return reduce(DataFrame.unionByName, [_slice_matches(docs, t, min_words) for t in _test_sets(bench, min_words)])
-
-
-def _slice_matches(docs: DataFrame, test: TestSet, min_words: int) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(SimpleNamespace(**vars(test)))
+    with fewer words than min_words are never matched; long texts are read whole; repeated rows are each reported; further columns are ignored; empty tables give an
+    empty result. A match never crosses the end of a document. The test set is read when this is called, slice by slice."""
+    sc = docs.sparkSession.sparkContext
+    shared, depth = [], 0
+    for t, longest in _test_sets(bench, min_words):
+        shared.append(sc.broadcast(vars(t)))
+        depth = max(depth, longest)
+
+    def tests() -> Iterator[SimpleNamespace]:
+        for b in shared:
+            yield SimpleNamespace(**b.value)
+            if len(shared) > 1 and hasattr(b, "_value"):
+                del b._value  # a worker holds one slice at a time
+
+    class Tests:
+        def __iter__(self) -> Iterator[SimpleNamespace]:
+            return tests()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "item_id", "doc_word", "item_word", "n_words"]
@@ -194,7 +220,7 @@ def _slice_matches(docs: DataFrame, test: TestSet, min_words: int) -> DataFrame:
 
         def flush() -> pa.RecordBatch:
             at = np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
-            d, p, i, q, k = shard_matches(np.concatenate(hs), at, shared.value, min_words)
+            d, p, i, q, k = shard_matches(np.concatenate(hs), at, Tests(), min_words, depth)
             doc = pa.chunked_array(ids).combine_chunks() if len(ids) > 1 else ids[0]
             return pa.RecordBatch.from_arrays([doc.take(pa.array(d)), *map(pa.array, (i, p, q, k))], names)
 

@@ -181,3 +181,15 @@ def test_runs_of_equal_ranks_are_streams(spark):
         got = batches.mapInArrow(run, "doc_id bigint, pos bigint, rank bigint").collect()
         assert {r.pos for r in got} == want and len(got) == len(want)
         assert len({(r.rank, int(rank[r.pos])) for r in got}) == len({r.rank for r in got})
+
+
+def test_a_text_with_too_many_words_for_the_packed_keys():
+    """Over two million different words in one text, and in a shard of several: the same matches."""
+    rng = np.random.default_rng(1)
+    h = rng.permutation(np.arange(1, 2_200_001, dtype=np.uint64) * np.uint64(977))
+    item = h[1_500_000:1_500_030].copy()
+    t = decontam.TestSet([(5, item), (6, item[:20]), (7, h[:3])], 13)
+    one = decontam.shard_matches(h, np.array([0, len(h)]), [t, t], 13, 30)
+    assert sorted(zip(*(x.tolist() for x in one), strict=True)) == [(0, 1_500_000, 5, 0, 30)] * 2 + [(0, 1_500_000, 6, 0, 20)] * 2
+    two = decontam.shard_matches(h, np.array([0, 1_000_000, len(h)]), [t], 13, 30)
+    assert sorted(zip(*(x.tolist() for x in two), strict=True)) == [(1, 500_000, 5, 0, 30), (1, 500_000, 6, 0, 20)]
