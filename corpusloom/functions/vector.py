@@ -24,8 +24,7 @@ def l2(a: Column, b: Column) -> Column:
 
 def normalized(a: Column) -> Column:
     """Unit vector; a zero vector stays as it is."""
-    n = F.sqrt(dot(a, a))
-    return F.when(n > 0, F.transform(a, lambda x: x / n)).otherwise(F.transform(a, lambda x: x.cast("double")))
+    return F.get(F.transform(F.array(F.sqrt(dot(a, a))), lambda n: F.when(n > 0, F.transform(a, lambda x: x / n)).otherwise(F.transform(a, lambda x: x.cast("double")))), F.lit(0))
 
 
 def mean_pool(states: Column, mask: Column) -> Column:
