@@ -4,7 +4,8 @@ URLs are baskets of tokens (host labels, path segments, query parts, fragment).
 Spark's FP-growth mines the token combinations that are frequent among the bad ones, and these are counted over all of the sample; a combination
 whose URLs are bad with at least MIN_CONFIDENCE and MIN_SUPPORT is a rule, unless a part of it is one that is as sure. Tokens that are in the same URLs
 of the sample are mined as one (a rule with two of them is never needed beside that with one), so a template of many parts doesn't
-make 2^parts sets. Rules match URLs by an inverted index, token to rules: a rule holds where as many of its tokens are found as it has.
+make 2^parts sets. Rules match URLs by an inverted index: a rule is under the one of its tokens that the fewest rules have, and holds where the URL has
+all of them.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from corpusloom.llm.common import cut
 #: Labelled URLs for mining; the bound of the sample.
 MAX_LABELLED = 200_000
 MIN_SUPPORT, MIN_COUNT, MIN_CONFIDENCE = 0.0005, 20, 0.6
-#: Index rows (a token of a rule) up to which the index is broadcast; a larger one is joined by shuffle.
+#: Rules up to which the index is broadcast; a larger one is joined by shuffle.
 BROADCAST_ROWS = 100_000
 
 
@@ -43,14 +44,15 @@ def mine(pages: DataFrame, labels: DataFrame, min_support: float = MIN_SUPPORT,
     sample = known.orderBy(F.xxhash64("page_id", F.lit(3)), "page_id", "url").limit(limit)
     cores = pages.sparkSession.sparkContext.defaultParallelism
     # limit leaves one partition; baskets are numbered before they are spread
-    baskets = cut(sample.select(F.monotonically_increasing_id().alias("basket"), "bad", tokens(F.col("url")).alias("items")).filter("size(items) > 0").repartition(cores, "basket"))
+    spread = sample.select(F.monotonically_increasing_id().alias("basket"), "bad", "url").repartition(cores, "basket")
+    baskets = cut(spread.select("basket", "bad", tokens(F.col("url")).alias("items")).filter("size(items) > 0"))
     n, n_bad = baskets.agg(F.count("*"), F.coalesce(F.sum("bad"), F.lit(0))).first()
     least = max(min_count, math.ceil(min_support * n))
     if n_bad < least:
         return pages.sparkSession.createDataFrame([], "rule_id bigint, items array<string>, support bigint, confidence double")
     # tokens in the same baskets: equal count and equal sums of two hashes of the baskets (128 bits); the first in order stands for all
     mark = lambda seed: F.sum(F.xxhash64("basket", F.lit(seed)).cast("decimal(38,0)"))
-    per = baskets.select("basket", "bad", F.explode("items").alias("token")).groupBy("token").agg(F.sum("bad").alias("bad"), F.struct(F.count("*"), mark(1), mark(2)).alias("same"))
+    per = baskets.select("basket", "bad", F.explode("items").alias("token")).groupBy("token").agg(F.sum("bad").alias("bad"), F.struct(F.count("*").alias("n"), mark(1), mark(2)).alias("same"))
     frequent = per.filter(F.col("bad") >= least)
     alike = cut(frequent.groupBy("same").agg(F.min("token").alias("first"), F.sort_array(F.collect_list("token")).alias("tokens")).select("first", "tokens"))
     rows = baskets.select("basket", "bad", F.explode("items").alias("first")).join(alike.select("first"), "first")
@@ -58,9 +60,9 @@ def mine(pages: DataFrame, labels: DataFrame, min_support: float = MIN_SUPPORT,
     n_mined = short.filter("bad = 1").count()
     sets = FPGrowth(itemsCol="items", minSupport=min(1.0, least / max(1, n_mined) * (1 - 1e-9)), minConfidence=1.0, numPartitions=cores).fit(short.filter("bad = 1").repartition(cores)).freqItemsets
     sets = cut(sets.select(F.sort_array("items").alias("items"), F.col("freq").alias("support")).filter(F.col("support") >= least).withColumn("set_id", F.monotonically_increasing_id()))
-    # how often each set is in any basket: by the inverted index, as rules match
-    index = sets.select(F.explode("items").alias("token"), "set_id", F.size("items").alias("n"))
-    held = short.select("basket", F.explode("items").alias("token")).join(index, "token").groupBy("basket", "set_id", "n").count().filter("count = n")
+    # how often each set is in any basket: looked for where its rarest token is
+    rarest = sets.select("set_id", "items", F.explode("items").alias("first")).join(per.select(F.col("token").alias("first"), F.col("same.n").alias("n")), "first").groupBy("set_id", "items").agg(F.min_by("first", F.struct("n", "first")).alias("token"))
+    held = short.select("items", F.explode("items").alias("token")).withColumnRenamed("items", "all").join(rarest, "token").filter("size(array_except(items, all)) = 0")
     freq = held.groupBy("set_id").agg(F.count("*").alias("freq"))
     sure = sets.join(freq, "set_id").select("items", "support", (F.col("support") / F.col("freq")).alias("confidence")).filter(F.col("confidence") >= min_confidence)
     # every token of a group can stand for it
@@ -81,11 +83,14 @@ def match(pages: DataFrame, rules: DataFrame) -> DataFrame:
 
     A null or empty URL is never blocked; repeated rows and pages of one URL are each judged; further columns are
     ignored; an empty table, or no rules, blocks nothing."""
-    index = rules.select(F.explode("items").alias("token"), "rule_id", F.size("items").alias("n"), "confidence", F.array_join("items", " ").alias("rule"))
-    if index.count() <= BROADCAST_ROWS:
+    each = rules.select("rule_id", "items", "confidence", F.explode("items").alias("token"))
+    often = each.groupBy("token").agg(F.count("*").alias("n"))
+    # a rule is under the one of its tokens that the fewest rules have
+    index = each.join(often, "token").groupBy("rule_id", "items", "confidence").agg(F.min_by("token", F.struct("n", "token")).alias("token")).withColumn("rule", F.array_join("items", " "))
+    if rules.count() <= BROADCAST_ROWS:
         index = F.broadcast(index)
-    urls = pages.select("url").filter("url is not null").distinct()
-    hits = urls.select("url", F.explode(tokens(F.col("url"))).alias("token")).join(index, "token").groupBy("url", "rule_id", "n", "confidence", "rule").count().filter("count = n")
+    urls = pages.select("url").filter("url is not null").distinct().withColumn("all", tokens(F.col("url")))
+    hits = urls.select("url", "all", F.explode("all").alias("token")).join(index, "token").filter("size(array_except(items, all)) = 0")
     best = hits.groupBy("url").agg(F.min(F.struct((-F.col("confidence")).alias("c"), F.col("rule").alias("rule"))).alias("b"))
     return pages.select("page_id", "url").join(best, "url", "left").select("page_id", "url", F.col("b").isNotNull().alias("blocked"), F.col("b.rule").alias("rule"), F.round(-F.col("b.c"), 6).alias("confidence"))
 
