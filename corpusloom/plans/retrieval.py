@@ -40,9 +40,9 @@ def near(spark: SparkSession, d: str, metric: str = "ip", k: int = K) -> DataFra
     return dense.search(e, e, k, metric, exclude_self=True)
 
 
-def label_qrels(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "embeddings").select("vec_id", "label")
-    return e.select(F.col("vec_id").alias("query_id"), "label").join(e, "label").filter("query_id <> vec_id").select("query_id", F.col("vec_id").alias("doc_id"))
+def by_label(spark: SparkSession, d: str) -> DataFrame:
+    """Metrics of each vector's ranking, where vectors of one label are relevant to each other."""
+    return evaluate.per_query_by_label(near(spark, d), table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label"))
 
 
 def other_legs(spark: SparkSession, d: str) -> list[DataFrame]:
@@ -103,7 +103,7 @@ def dense_l2_topk(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {DENSE}, {LABELS} {evaluate.oracle_metrics('dense', 'lq')}")
 def dense_metrics(spark: SparkSession, d: str) -> DataFrame:
-    return evaluate.metrics(near(spark, d), label_qrels(spark, d))
+    return evaluate.means(by_label(spark, d))
 
 
 @query(f"WITH {VEC} SELECT q.vec_id AS query_id, arg_max(c.vec_id, (round(list_inner_product(q.e, c.e), 6), -c.vec_id)) AS doc_id, max(round(list_inner_product(q.e, c.e), 6)) AS score FROM v q, v c WHERE q.vec_id % 2 = 1 AND c.vec_id % 2 = 0 GROUP BY 1")
@@ -199,7 +199,7 @@ def latency_percentiles(spark: SparkSession, d: str) -> DataFrame:
 SELECT label, count(*) AS n_queries, round(avg(r10), 6) AS recall_10 FROM pq JOIN embeddings ON vec_id = query_id GROUP BY ROLLUP (label)""")
 def metric_rollup(spark: SparkSession, d: str) -> DataFrame:
     by = table(spark, d, "embeddings").select(F.col("vec_id").alias("query_id"), "label")
-    return evaluate.metrics(near(spark, d), label_qrels(spark, d), by=by).select("label", "n_queries", "recall_10")
+    return evaluate.means(by_label(spark, d), by=by).select("label", "n_queries", "recall_10")
 
 
 @query(f"""WITH {lexical.oracle(3)} SELECT query_id, CAST(to_json(list({{'document': {{'doc_id': doc_id, 'contents': text}}, 'score': score}} ORDER BY rank)) AS VARCHAR) AS result FROM bm25 JOIN documents USING (doc_id) GROUP BY 1""")

@@ -168,3 +168,21 @@ def test_graph_search_bounds_entities_by_the_corpus(spark):
     docs = spark.createDataFrame([(i, f"aspirin helps number{i}" if i < 60 else f"other number{i}") for i in range(400)], "doc_id bigint, text string")
     q = spark.createDataFrame([(1, "aspirin")], "item_id bigint, text string")
     assert graph.search(docs, q, run(spark, {"1": ["0"]}).selectExpr("cast(query_id as bigint) query_id", "cast(doc_id as bigint) doc_id", "score", "rank").filter("rank > 1")).count() == 10
+
+
+def test_label_metrics_equal_those_of_the_pairs(spark):
+    rows = [(i, None if i % 11 == 0 else "alone" if i == 1 else f"l{i % 3}") for i in range(40)]
+    labels = spark.createDataFrame([*rows, rows[2]], "id bigint, label string")
+    hits = spark.createDataFrame([(i, (i * 7 + j * j) % 43, float(-j), j + 1) for i in range(45) for j in range(12)], "query_id bigint, doc_id bigint, score double, rank int")
+    known = labels.filter("label is not null").distinct()
+    pairs = known.select(F.col("id").alias("query_id"), "label").join(known.select(F.col("id").alias("doc_id"), "label"), "label").filter("query_id <> doc_id").drop("label")
+    rounded = lambda df: sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in df.fillna(-1).collect())
+    assert rounded(evaluate.per_query_by_label(hits, labels)) == rounded(evaluate.per_query(hits, pairs)) != []
+
+
+def test_label_metrics_make_no_pairs(spark):
+    """Of 300,000 ids of one label there would be 9e10 pairs."""
+    labels = spark.range(300_000).select("id", F.lit(1).alias("label"))
+    hits = spark.range(300_000).select(F.col("id").alias("query_id"), F.pmod(F.col("id") + 1, F.lit(300_000)).alias("doc_id"), F.lit(1.0).alias("score"), F.lit(1).alias("rank"))
+    got = evaluate.means(evaluate.per_query_by_label(hits, labels)).first()
+    assert (got.n_queries, got.mrr_10) == (300_000, 1.0)
