@@ -33,13 +33,32 @@ class TopK:
         on = np.isfinite(key)
         if key.shape[1] > self.k:  # whoever is over the k-th can't be in; ties with it stay
             on &= key <= np.partition(key, self.k - 1, axis=1)[:, self.k - 1 : self.k]
-        (r, j), (old, at) = np.nonzero(on), np.nonzero(np.isfinite(self.key))
-        row, key, c = np.concatenate([old, r]), np.concatenate([self.key[old, at], key[r, j]]), np.concatenate([self.id[old, at], c[j]])
+        r, j = np.nonzero(on)
+        self._merge(r, c[j], key[r, j])
+
+    def merge(self, rows: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
+        """Scores of single pairs of query (by place) and id."""
+        key = self.sign * scores + 0.0
+        on = np.isfinite(key)
+        self._merge(rows[on], ids[on], key[on])
+
+    def worst(self) -> np.ndarray:
+        """The k-th score of each query; infinite, on the far side, where there are fewer."""
+        last = self.key[:, self.k - 1] if self.key.shape[1] else np.full(len(self.key), np.inf)
+        return self.sign * last
+
+    def _merge(self, row: np.ndarray, c: np.ndarray, key: np.ndarray) -> None:
+        if not self.key.shape[1]:
+            self.key, self.id = np.full((len(self.key), self.k), np.inf), np.zeros((len(self.key), self.k), np.int64)
+        touched = np.unique(row)
+        old, at = np.nonzero(np.isfinite(self.key[touched]))
+        old = touched[old]
+        row, key, c = np.concatenate([old, row]), np.concatenate([self.key[old, at], key]), np.concatenate([self.id[old, at], c])
         order = np.lexsort((c, key, row))
         row, key, c = row[order], key[order], c[order]
         place = np.arange(len(row)) - np.searchsorted(row, row)
         row, key, c, place = (x[place < self.k] for x in (row, key, c, place))
-        self.key, self.id = np.full((len(self.key), self.k), np.inf), np.zeros((len(self.key), self.k), np.int64)
+        self.key[touched], self.id[touched] = np.inf, 0
         self.key[row, place], self.id[row, place] = key, c
 
     def batch(self, queries: np.ndarray) -> pa.RecordBatch:

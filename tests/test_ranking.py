@@ -186,3 +186,28 @@ def test_label_metrics_make_no_pairs(spark):
     hits = spark.range(300_000).select(F.col("id").alias("query_id"), F.pmod(F.col("id") + 1, F.lit(300_000)).alias("doc_id"), F.lit(1.0).alias("score"), F.lit(1).alias("rank"))
     got = evaluate.means(evaluate.per_query_by_label(hits, labels)).first()
     assert (got.n_queries, got.mrr_10) == (300_000, 1.0)
+
+
+@pytest.mark.parametrize("metric", ["ip", "l2"])
+@pytest.mark.parametrize("scale", [1.0, 1e16])
+def test_search_finds_what_single_precision_cannot_tell_apart(spark, metric, scale, monkeypatch):
+    """Scores that differ in the sixth digit, many equal ones, vectors that aren't finite, and more batches than one."""
+    monkeypatch.setattr(dense, "BLOCK", 70)
+    rng = np.random.default_rng(3)
+    x = (np.array([3.0, 5.0, 7.0]) + 1e-6 * rng.integers(0, 9, size=(3000, 3))) * scale
+    x[::50] = rng.normal(size=(60, 3)) * scale
+    x[17], x[18] = np.nan, np.inf
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id bigint, embedding array<double>").coalesce(1)
+    got = {}
+    for r in dense.search(v, v.filter("vec_id % 13 = 0"), 5, metric, exclude_self=True).collect():
+        got.setdefault(r.query_id, {})[r["rank"]] = (r.doc_id, r.score)
+    for q in range(0, 3000, 13):
+        with np.errstate(all="ignore"):
+            s = np.round(np.sqrt(((x[q] - x) ** 2).sum(1)) if metric == "l2" else -np.einsum("ij,ij->i", np.broadcast_to(x[q], x.shape), x), 6)
+        s[q] = s[17] = s[18] = np.inf
+        assert [got[q][i + 1][0] for i in range(5)] == np.lexsort((np.arange(3000), s))[:5].tolist()
+
+
+def test_search_holds_slices_of_a_bounded_size(spark):
+    """Each Python worker has a copy of a slice's queries, in double and single precision."""
+    assert dense.SLICE_CELLS * 12 <= 64e6
