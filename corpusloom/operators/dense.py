@@ -134,10 +134,12 @@ def nearest(left: DataFrame, right: DataFrame) -> DataFrame:
 
 
 def hashed_embedding(words: Column, width: int = 64) -> Column:
-    """Unit vector of signed word counts: the encoder that needs no model."""
+    """Unit vector of signed word counts: the encoder that needs no model. Where all counts cancel each other out, they are taken
+    without their signs, so only a text without words has the zero vector."""
     once = lambda value, use: F.get(F.transform(F.array(value), use), F.lit(0))  # noqa: E731  (a lambda's argument is computed once)
     hits = F.transform(words, lambda w: F.struct(F.pmod(F.xxhash64(w), F.lit(width)).cast("int").alias("i"), F.when(F.pmod(F.xxhash64(w, F.lit(1)), F.lit(2)) == 0, 1.0).otherwise(-1.0).alias("s")))
-    raw = once(hits, lambda hs: F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.aggregate(hs, F.lit(0.0), lambda a, h: a + F.when(h["i"] == i, h["s"]).otherwise(0.0))))
+    counts = lambda hs, sign: F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.aggregate(hs, F.lit(0.0), lambda a, h: a + F.when(h["i"] == i, sign(h)).otherwise(0.0)))
+    raw = once(hits, lambda hs: once(counts(hs, lambda h: h["s"]), lambda v: F.when(F.exists(v, lambda x: x != 0), v).otherwise(counts(hs, lambda h: F.lit(1.0)))))
     return once(raw, vector.normalized)
 
 

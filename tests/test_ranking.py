@@ -211,3 +211,11 @@ def test_search_finds_what_single_precision_cannot_tell_apart(spark, metric, sca
 def test_search_holds_slices_of_a_bounded_size(spark):
     """Each Python worker has a copy of a slice's queries, in double and single precision."""
     assert dense.SLICE_CELLS * 12 <= 64e6
+
+
+def test_hashed_embedding_is_zero_for_no_words_only(spark):
+    """Of 400 words many pairs fall on one place with opposite signs."""
+    w = spark.range(400).select(F.concat(F.lit("w"), F.col("id")).alias("w"))
+    pairs = w.crossJoin(w.withColumnRenamed("w", "z")).select(F.array("w", "z").alias("words")).unionByName(spark.createDataFrame([([],), (["one"],)], "words array<string>"))
+    sums = pairs.select(F.size("words").alias("n"), F.aggregate(dense.hashed_embedding(F.col("words"), 16), F.lit(0.0), lambda a, x: a + x * x).alias("s"))
+    assert {(r.empty, round(r.s, 9)) for r in sums.select((F.col("n") == 0).alias("empty"), "s").distinct().collect()} == {(True, 0.0), (False, 1.0)}
