@@ -145,3 +145,61 @@ def test_controllers():
     assert c.update(3.0, 10) == pytest.approx(0.2 * 1.02)
     with pytest.raises(ValueError):
         rl.kl_controller("adaptive", 0.1)
+
+
+@pytest.mark.parametrize("iterations", [0, 4, 5])
+def test_passage_ranks_equal_the_general_pagerank(spark, monkeypatch, iterations):
+    """With edges in many parts, few questions a task, resets without an edge, and repeated, negative and NaN weights."""
+    monkeypatch.setattr(graph, "READ_EDGES", 7)
+    monkeypatch.setattr(graph, "RANK_CELLS", 1)
+    docs, q = spark.read.parquet(f"{SF}/documents.parquet").filter("doc_id < 40"), spark.read.parquet(f"{SF}/benchmark.parquet").filter("item_id < 6")
+    bridge = graph.entities(docs)
+    extra = [(1, 2.0), (1, 0.5), (2, -1.0), (3, float("nan"))]
+    on_e = graph.seeds(q, bridge).select("query_id", "entity", F.col("score").alias("weight")).unionByName(spark.createDataFrame([(i, "no such", w) for i, w in extra], "query_id bigint, entity string, weight double"))
+    on_d = spark.createDataFrame([(i, d, w) for i, w in extra for d in (3, 3, 5, 900)], "query_id bigint, doc_id bigint, weight double")
+    general = graph.edges(bridge).select(graph.passage_vertex(F.col("doc_id")).alias("src"), graph.entity_vertex(F.col("entity")).alias("dst"), "weight")
+    by_e, by_d = on_e.select("query_id", graph.entity_vertex(F.col("entity")).alias("vertex"), "weight"), on_d.select("query_id", graph.passage_vertex(F.col("doc_id")).alias("vertex"), "weight")
+    for passages, reset in ((None, by_e), (on_d, by_e.unionByName(by_d))):
+        want = {(r.query_id, r.vertex): r["rank"] for r in graph.pagerank(general, reset, iterations=iterations).collect() if passages is None or r.vertex.startswith("p:")}
+        got = {(r.query_id, f"e:{r.entity}" if r.doc_id is None else f"p:{r.doc_id}"): r["rank"] for r in graph.passage_ranks(bridge, on_e, passages, iterations=iterations).collect()}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want) and want
+    first = {(r.query_id, r.doc_id) for r in graph.passage_ranks(bridge, on_e, on_d, iterations=iterations, top=3).collect()}
+    ids = {}
+    for (i, v), s in want.items():
+        ids.setdefault(i, []).append((-round(s, 9), int(v[2:])))
+    assert first == {(i, d) for i, rows in ids.items() for _, d in sorted(rows)[:3]}
+
+
+def test_entities_take_one_exchange(spark):
+    docs = spark.createDataFrame([(1, "planets planets orbits"), (1, "planets comets"), (2, "comets"), (None, "orbits"), (3, None)], "doc_id bigint, text string")
+    got = graph.entities(docs)
+    assert {tuple(r) for r in got.collect()} == {(1, "comets", 1), (2, "comets", 1), (1, "orbits", 1), (None, "orbits", 1)}
+    assert graph.entities(docs)._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+
+
+def test_propagation_with_few_rows_at_once_is_the_same(spark, monkeypatch):
+    docs, q = spark.read.parquet(f"{SF}/documents.parquet").filter("doc_id < 60"), spark.read.parquet(f"{SF}/benchmark.parquet").filter("item_id < 6")
+    bridge = graph.entities(docs)
+    rows = lambda: {tuple(r) for r in graph.propagate(graph.seeds(q, bridge), bridge, docs, q).collect()}
+    whole = rows()
+    monkeypatch.setattr(graph, "MERGED", 1)
+    monkeypatch.setattr(graph, "BROADCAST_SENTENCES", 0)
+    assert rows() == whole and len(whole) > 50
+
+
+def test_propagation_does_not_sort_all_it_has_with_every_batch(spark, monkeypatch, tmp_path):
+    """The best so far are merged when as many new rows have come, or many, not once for every few sentences."""
+    calls = tmp_path / "calls"
+    best = graph._best
+
+    def counted(parts, k):  # noqa: ANN001, ANN202
+        with open(calls, "a") as f:
+            f.write(".")
+        return best(parts, k)
+
+    monkeypatch.setattr(graph, "_best", counted)
+    docs = spark.range(6000).select(F.col("id").alias("doc_id"), F.lit("planets orbit. comets orbit planets. planets").alias("text")).coalesce(1)
+    q = spark.createDataFrame([(1, "planets orbit")], "item_id bigint, text string")
+    bridge = graph.entities(docs)
+    assert graph.propagate(graph.seeds(q, bridge), bridge, docs, q, hops=1).count() >= 1
+    assert not calls.exists() or calls.stat().st_size <= spark.sparkContext.defaultParallelism + 1
