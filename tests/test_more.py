@@ -203,3 +203,21 @@ def test_propagation_does_not_sort_all_it_has_with_every_batch(spark, monkeypatc
     bridge = graph.entities(docs)
     assert graph.propagate(graph.seeds(q, bridge), bridge, docs, q, hops=1).count() >= 1
     assert not calls.exists() or calls.stat().st_size <= spark.sparkContext.defaultParallelism + 1
+
+
+def test_index_is_built_with_one_exchange_of_postings(spark, tmp_path, monkeypatch):
+    """Repeated ids count as one document, blocks share tasks, and what is sent for a document is its words once."""
+    monkeypatch.setattr(lexical_index, "BLOCK", 3)
+    monkeypatch.setattr(lexical_index, "PARTS", 2)
+    docs = spark.createDataFrame([(i, f"w{i % 5} w{i % 3} w{i % 3} all") for i in range(20)] + [(3, "w3 w0 w0 all"), (None, "all"), (30, None), (31, "")], "doc_id bigint, text string")
+    stats = lexical_index.build(docs, str(tmp_path / "i")).first()
+    index = lexical_index.load(spark, str(tmp_path / "i"))
+    rows = index.postings.selectExpr("term", "inline(arrays_zip(docs, tfs, dls))").collect()
+    key = {r.w: r.h for r in spark.createDataFrame([(f"w{i}",) for i in range(5)] + [("all",)], "w string").select("w", F.xxhash64("w").alias("h")).collect()}
+    want = {}
+    for i in [*range(20), 3]:
+        for w in (f"w{i % 5}", f"w{i % 3}", f"w{i % 3}", "all"):
+            want[key[w], i] = want.get((key[w], i), 0) + 1
+    assert {(r.term, r.docs): r.tfs for r in rows} == want and {r.dls for r in rows} == {4} and len(rows) == len(want)
+    assert {r.term: r.df for r in lexical_index.terms(index).collect()} == {t: sum(1 for x, _ in want if x == t) for t in key.values()}
+    assert (stats.n_docs, stats.n_words, stats.n_blocks) == (24, 85, 8) and "df" not in index.postings.columns
