@@ -105,11 +105,11 @@ def rows_by_ids(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT source, count(*) AS n_lines FROM (SELECT source, unnest(string_split(text, chr(10))) AS x FROM documents) WHERE trim(x, ' ') <> '' GROUP BY 1")
 def stored_documents(spark: SparkSession, d: str) -> DataFrame:
-    """A text file for each source, read as documents: their non-blank lines."""
+    """A text file for each source, read as documents, line by line: their non-blank lines."""
     path = folder(spark, "files")
     docs(spark, d).select("source", F.col("text").alias("value")).repartition("source").write.partitionBy("source").text(path)
-    found = readers.files(spark, path).select(F.regexp_extract("path", "source=([^/]*)", 1).alias("source"), "lines")
-    return found.groupBy("source").agg(F.sum(F.size("lines")).alias("n_lines"))
+    found = readers.file_lines(spark, path).select(F.regexp_extract("path", "source=([^/]*)", 1).alias("source"))
+    return found.groupBy("source").agg(F.count("*").alias("n_lines"))
 
 
 @query("SELECT name, n_rows, false AS changed FROM (SELECT 'benchmark' AS name, (SELECT count(*) FROM benchmark) AS n_rows UNION ALL SELECT 'labels', (SELECT count(*) FROM labels)) UNION ALL SELECT 'labels', (SELECT count(*) FROM labels) - 1, true")

@@ -135,6 +135,17 @@ def files(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", document_lines("content", "path").alias("lines"))
 
 
+def file_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, line): the non-blank lines of files() as rows. Text and Markdown files are read in splits, line by line, so none is held whole; the
+    lines of PDF and DOCX files come from document_lines()."""
+    of = lambda kind, glob: spark.read.format(kind).option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(folder)
+    path = F.regexp_replace(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))), "^file:///", "file:/")  # as a binary file's
+    line = F.explode(F.split("value", r"[\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"))
+    texts = of("text", "*.{[tT][xX][tT],[mM][dD]}").select(path.alias("path"), line.alias("line")).withColumn("line", F.regexp_replace("line", r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", ""))
+    other = of("binaryFile", "*.{[pP][dD][fF],[dD][oO][cC][xX]}").select("path", F.explode(document_lines("content", "path")).alias("line"))
+    return texts.filter("line <> ''").unionByName(other)
+
+
 def head_digest(spark: SparkSession, folder: str, size: int = 1 << 20) -> DataFrame:
     """(path, digest): MD5 of the first `size` bytes of each file, which names a cache of the corpus."""
     return spark.read.format("binaryFile").load(folder).select("path", F.md5(F.substring("content", 1, size)).alias("digest"))

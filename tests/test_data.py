@@ -246,3 +246,32 @@ def test_containment_of_short_passages(spark, monkeypatch):
     assert {tuple(r) for r in quality.containment(docs, passages).collect()} == want
     monkeypatch.setattr(quality, "MAX_CHARS", 10)
     assert sorted(map(tuple, quality.containment(docs, passages).collect())) == sorted(want)
+
+
+def test_file_lines_are_those_of_the_whole_files(spark, tmp_path):
+    """Line ends of all kinds, blanks of all kinds, names with signs, kinds in capitals, and files that aren't text."""
+    (tmp_path / "a=x y" / "deep").mkdir(parents=True)
+    (tmp_path / "a=x y" / "one+two%3A.txt").write_bytes("a\r\n\r\n b\rc\x0bd\x0ce\x1cf\x1f  g　\n \t\n\x85h\n".encode())
+    (tmp_path / "a=x y" / "deep" / "B.MD").write_text("# x\n\ny")
+    (tmp_path / "empty.txt").write_text("")
+    (tmp_path / "no.bin").write_bytes(b"x\ny")
+    whole = readers.files(spark, str(tmp_path)).select("path", F.explode("lines").alias("line"))
+    got = readers.file_lines(spark, str(tmp_path))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, whole.collect())) and got.count() == 10
+
+
+def test_stored_documents_read_text_in_splits(spark, monkeypatch):
+    """No file is read whole into a row."""
+    from checks import DATA
+
+    from corpusloom.plans import registry
+
+    monkeypatch.setattr(readers, "files", None)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        got = registry.QUERIES["stored_documents"](spark, f"{DATA}/sf0.001")
+        files = set(got.inputFiles())
+        lines = readers.file_lines(spark, next(iter(files)).rsplit("/", 2)[0])
+        assert lines.rdd.getNumPartitions() > len(files)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
